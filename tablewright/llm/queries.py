@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, quality, topk, toxicity
+from . import chosenpath, decontaminate, langid, linededup, quality, topk, toxicity
 from .common import crc_mod, table
 
 
@@ -15,6 +15,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_chosenpath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.jaccard_classes(spark, table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = linededup.remove_cross_site_lines(spark, docs)
@@ -50,6 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op3_chosenpath": op3_chosenpath,
     "op4_linededup": op4_linededup,
     "op6_langid": op6_langid,
     "op8_toxicity": op8_toxicity,
@@ -67,6 +72,23 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op3_chosenpath": r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+x AS (SELECT r, [x FOR x IN string_split_regex(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS x FROM t),
+w AS (SELECT r, unnest(x) AS w, generate_subscripts(x, 1) AS p FROM x),
+g AS (SELECT r, concat_ws(' ', w, lead(w) OVER k, lead(w, 2) OVER k, lead(w, 3) OVER k, lead(w, 4) OVER k) AS s, lead(w, 4) OVER k IS NOT NULL OR p = 1 AS whole FROM w WINDOW k AS (PARTITION BY r ORDER BY p)),
+u AS (SELECT DISTINCT r, s FROM g WHERE whole),
+f AS (SELECT r, md5(string_agg(s, '|' ORDER BY s)) AS f, count(*) AS n FROM u GROUP BY r),
+d AS (SELECT doc_id, f.f, min(f.r) OVER (PARTITION BY f.f) AS rep FROM documents JOIN t USING (text) LEFT JOIN f USING (r)),
+c AS (SELECT rep, count(*) AS size, min(doc_id) AS least_id FROM d WHERE f IS NOT NULL GROUP BY rep),
+q AS (SELECT r, s, n FROM u JOIN f USING (r) WHERE r IN (SELECT rep FROM c)),
+e AS (SELECT a.r AS a, b.r AS b FROM q a JOIN q b ON a.s = b.s AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
+k AS (SELECT rep AS v, rep AS l FROM c UNION SELECT e.b, k.l FROM k JOIN e ON k.v = e.a),
+h AS (SELECT v, min(least_id) AS class_id FROM k JOIN c ON k.l = c.rep GROUP BY v),
+z AS (SELECT c.rep, size - 1 + coalesce((SELECT sum(c2.size) FROM e JOIN c c2 ON c2.rep = e.b WHERE e.a = c.rep), 0) AS n_links FROM c)
+SELECT d.doc_id, coalesce(h.class_id, d.doc_id) AS class_id, CAST(coalesce(z.n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN h ON d.rep = h.v AND d.f IS NOT NULL LEFT JOIN z ON d.rep = z.rep AND d.f IS NOT NULL
+UNION ALL SELECT doc_id, doc_id, 0 FROM documents WHERE text IS NULL""",
     "op4_linededup": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, source FROM documents),
 l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
