@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, score_texts, text_key
+from .common import materialise, score_texts, sorted_groups, text_key
 
 WIDTH, THRESHOLD = 5, 0.8
 RUNS, SLOTS, SMALL, CHILDREN, DEPTH, BLOCK, FLOOR = 6, 64, 512, 3, 2, 1024, 0.45
@@ -97,23 +97,6 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
     return score_texts(keyed, run, "rid binary, n int, sig array<int>", keep_text=False)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of equal key over batches that are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1)]
-        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-            if held and held[0].column(key)[0].as_py() != keys[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _buckets(spark: SparkSession, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, rid, run, half) of all buckets to compare, and (rid, whole): the runs whose first bucket is compared whole."""
     slot = np.random.default_rng(11).permutation(SLOTS)[:RUNS]
@@ -149,7 +132,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
     slot = np.random.default_rng(11).permutation(SLOTS)[:RUNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "key"):
+        for group in sorted_groups(batches, "key"):
             m = group.num_rows
             if m < 2:
                 continue
@@ -182,7 +165,7 @@ def _verified(rows: DataFrame, width: int, threshold: float) -> DataFrame:
     a (rid), b, text, sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "key"):
+        for group in sorted_groups(batches, "key"):
             sets, a, b = {}, [], []
             pairs = []
             for kind, x, y, t in zip(*(group.column(c).to_pylist() for c in ("kind", "a", "b", "text")), strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +81,23 @@ def score_texts(docs: DataFrame, run: Callable[[list], dict], added: str, keep_t
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(made[c]) for c in new)], names=[*keep, *new])
 
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(batches, schema)
+
+
+def sorted_groups(batches: Iterator, key: str) -> Iterator:
+    """Runs of equal key over batches that are sorted by it."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1)]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            if held and held[0].column(key)[0].as_py() != keys[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosenpath, decontaminate, langid, linededup, quality, topk, toxicity
+from . import chat, chosenpath, decontaminate, langid, linededup, mixing, quality, surrogate, topk, toxicity
 from .common import crc_mod, table
 
 
@@ -15,6 +15,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark, table(spark, sf_dir, "conversations"))
+
+
 def op3_chosenpath(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosenpath.jaccard_classes(spark, table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -25,6 +29,23 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines_removed").cast("long").alias("n_lines_removed"), F.length("text").cast("long").alias("n_kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+#: A stand-in for a secret that a user of op7 passes in.
+SURROGATE_KEY = "example key"
+#: The wanted shares of tokens of op5's domains, the languages.
+LANG_TARGETS = {"en": 0.4, "fr": 0.25, "de": 0.2, "es": 0.15}
+
+
+def labelled_langs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table of op5: the language of the documents that labels covers."""
+    rated = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(rated, "doc_id", "left_semi")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.mix_rates(spark, table(spark, sf_dir, "documents"), labelled_langs(spark, sf_dir), LANG_TARGETS)
+    return rates.select("doc_id", "n_tokens", "domain", "p_domain", "mix_rate")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rest = crc_mod(F.col("doc_id"), 4)
@@ -33,6 +54,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogate.pseudonymise(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return out.select("doc_id", "n_entities", "text")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rest = crc_mod(F.col("doc_id"), 3)
@@ -54,9 +80,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
+    "op2_chat": op2_chat,
     "op3_chosenpath": op3_chosenpath,
     "op4_linededup": op4_linededup,
+    "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
+    "op7_surrogate": op7_surrogate,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
