@@ -39,8 +39,9 @@ def cross_site_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_
     return materialise(spark, likely.where(F.col("sites") > min_sites + band).select("l1", "l2").union(exact.select("l1", "l2")), "line-boilerplate")
 
 
-def remove_cross_site_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """docs with text rewritten and a column n_lines_removed; n_chars, if there is one, follows the text.
+def remove_cross_site_lines(spark: SparkSession, docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, count_as: str | None = "n_lines_removed") -> DataFrame:
+    """docs with text rewritten and, unless count_as is None, a column of the number of lines removed, which replaces one
+    of that name; n_chars, if there is one, follows the text.
 
     A document all of whose non-blank lines are cross-site lines is a copy that many sites carry, not a page with
     boilerplate: it stays as it is, with 0 removed. Null and empty texts stay. Blank lines and the order of lines stay.
@@ -57,9 +58,10 @@ def remove_cross_site_lines(spark: SparkSession, docs: DataFrame, min_sites: int
     joined = joined.withColumn("__left", left)
     changed = F.col("__left").isNotNull() & F.exists("__left", lambda x: F.trim(x) != "")
     out = {
-        "n_lines_removed": F.when(changed, F.size(_lines(text)) - F.size("__left")).otherwise(0),
         "text": F.when(changed, F.array_join("__left", "\n")).otherwise(text),
     }
+    if count_as:
+        out[count_as] = F.when(changed, F.size(_lines(text)) - F.size("__left")).otherwise(0)
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(changed, F.length(F.array_join("__left", "\n")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return joined.withColumns(out).drop("__tk1", "__tk2", "__b1", "__b2", "__bad", "__left")

@@ -127,6 +127,16 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = M
     return train(x, got["grade"].to_numpy(dtype=np.int64), grades)
 
 
+def keep_selected(docs: DataFrame, model: OrdinalModel, select_grade: int = SELECT_GRADE, select_at: float = SELECT_AT) -> DataFrame:
+    """The selected rows of docs, columns as they are."""
+
+    def run(texts: list) -> dict:
+        got = [model.tails(np.stack([features(t) for t in texts[a : a + 256]]))[:, select_grade - 1] for a in range(0, len(texts), 256)]
+        return {"__selected": np.concatenate(got) >= select_at if got else np.zeros(0, bool)}
+
+    return score_texts(docs, run, "__selected boolean").where("__selected").drop("__selected")
+
+
 def rate(docs: DataFrame, model: OrdinalModel, select_grade: int = SELECT_GRADE, select_at: float = SELECT_AT, keep_text: bool = True) -> DataFrame:
     """docs (text and more) with expected_grade, tail (P(grade >= select_grade)) and selected.
 

@@ -40,11 +40,11 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
     "secret": r"""(?<=(?:token|secret|passwd|password|api_key|key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_-]{16,128}""",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![\p{L}\p{N}])",
     "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME})?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -117,7 +117,7 @@ def surrogate(key: str, kind: Column, part: Column, draw: Column) -> Column:
 
 def kind_of(entity: Column) -> Column:
     out = F.when(entity.rlike(f"^{_TITLE} "), "name")
-    for kind, shape in {"email": "@", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "national": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "card": "^[0-9]{4}(?:[ -]?[0-9]{4}){3}$|^[0-9]{13,19}$", "phone": r"^[+(]", "iban": "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}$"}.items():
+    for kind, shape in {"email": "@", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "national": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "card": "^[0-9]{4}(?:[ -]?[0-9]{4}){3}$|^[0-9]{13,19}$", "phone": r"^[+(]", "iban": "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?$"}.items():
         out = out.when(entity.rlike(shape), kind)
     return out.otherwise("secret")
 
@@ -164,7 +164,10 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, key: str) -> DataFrame:
     given = assign(spark, entities.select("kind", "part").distinct(), key)
     title = F.regexp_extract("entity", f"^({_TITLE} )", 1)
     made = entities.join(given, ["kind", "part"]).groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("i", "surrogate"))).alias("s"))
-    made = materialise(spark, made.select("entity", F.concat(title, F.array_join(F.col("s.surrogate"), " ")).alias("surrogate")), "pii-entities")
+    # a woman's family name in Cyrillic takes its ending
+    woman = F.col("entity").rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? .*\p{IsCyrillic}$")
+    whole = F.concat(title, F.array_join(F.col("s.surrogate"), " "), F.when(woman & F.element_at("s.surrogate", -1).rlike("в$"), "а").otherwise(""))
+    made = materialise(spark, made.select("entity", whole.alias("surrogate")), "pii-entities")
     placed = marks.select("tk1", "tk2", F.posexplode("found").alias("pos", "entity")).join(made, "entity")
     plan = placed.groupBy("tk1", "tk2").agg(F.array_sort(F.collect_list(F.struct("pos", "surrogate"))).alias("s"))
     plan = plan.select(F.col("tk1").alias("__p1"), F.col("tk2").alias("__p2"), F.col("s.surrogate").alias("__new"))
