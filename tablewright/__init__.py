@@ -1,0 +1 @@
+"""Analytics over tables recovered from documents, as Spark DataFrame plans."""
