@@ -1,10 +1,8 @@
 """Fixed schemas of the canonical relations. Tables have any columns; cells hold them all in one long form."""
 
-from pyspark.sql import types as T
-
 TABLE_KEY = ["doc_id", "page_no", "table_no"]
-CELLS = T.StructType.fromDDL("doc_id string, page_no int, table_no int, row_no int, col_no int, col_name string, value string")
-PAGES = T.StructType.fromDDL("doc_id string, page_no int, text string, image_count int")
-RAW_TABLES = T.StructType.fromDDL("doc_id string, page_no int, table_no int, rows array<array<string>>")
-RESPONSES = T.StructType.fromDDL("doc_id string, page_no int, csv_text string")
-FILES = T.StructType.fromDDL("path string, length bigint, kind string")
+CELLS = "doc_id string, page_no int, table_no int, row_no int, col_no int, col_name string, value string"
+PAGES = "doc_id string, page_no int, text string, image_count int"
+RAW_TABLES = "doc_id string, page_no int, table_no int, rows array<array<string>>"
+RESPONSES = "doc_id string, page_no int, csv_text string"
+FILES = "path string, length bigint, kind string"

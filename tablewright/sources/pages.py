@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import RAW_TABLES
+
 # Limits of a picture sent to an extractor.
 MAX_BYTES, LEAST_SIDE, ATTEMPTS, FIRST_SCALE, NEXT_SCALE, LEAST_CONFIDENCE, ZOOM = 5 * 1024 * 1024, 100, 10, 0.9, 0.85, 1.0, 4
 
@@ -49,8 +51,6 @@ def read_tables(files: DataFrame, reader: TableReader) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        from ..schema import RAW_TABLES
-
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
@@ -60,10 +60,10 @@ def read_tables(files: DataFrame, reader: TableReader) -> DataFrame:
                 except Exception:
                     got = []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(got), pa.string()), pa.array([p for p, _, _ in got], pa.int32()), pa.array([t for _, t, _ in got], pa.int32()), pa.array([r for _, _, r in got], pa.list_(pa.list_(pa.string())))], names=RAW_TABLES.names
+                    [pa.array([path] * len(got), pa.string()), pa.array([p for p, _, _ in got], pa.int32()), pa.array([t for _, t, _ in got], pa.int32()), pa.array([r for _, _, r in got], pa.list_(pa.list_(pa.string())))], names=["doc_id", "page_no", "table_no", "rows"]
                 )
 
-    return files.select("path", "content").mapInArrow(run, "doc_id string, page_no int, table_no int, rows array<array<string>>")
+    return files.select("path", "content").mapInArrow(run, RAW_TABLES)
 
 
 def extract_live(pages: DataFrame, extractor: PageExtractor, concurrency: int) -> DataFrame:
