@@ -80,7 +80,7 @@ def workbooks(cells: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     tables = sheet_names(cells.select("doc_id", "page_no", "table_no").distinct())
     rows = cells.join(tables, ["doc_id", "page_no", "table_no"]).select("doc_id", "position", "sheet", "row_no", "col_no", "col_name", "value")
     if notes is not None:
-        pairs = F.posexplode(F.array(F.struct(F.lit("Page").alias("n"), F.concat(F.lit("Page "), F.col("page_no").cast("string")).alias("v")), F.struct(F.lit("Note"), F.col("note"))))
+        pairs = F.posexplode(F.array(F.struct(F.lit("Page").alias("n"), F.concat(F.lit("Page "), F.col("page_no").cast("string")).alias("v")), F.struct(F.lit("Note").alias("n"), F.col("note").alias("v"))))
         noted = notes.select("doc_id", (F.xxhash64("page_no", "row_no") if "row_no" in notes.columns else F.col("page_no").cast("long")).alias("r"), pairs.alias("col_no", "x"), "page_no")
         rows = rows.union(noted.select("doc_id", F.lit(2**31 - 1), F.lit("Notes"), "r", "col_no", "x.n", "x.v"))
 
