@@ -4,13 +4,15 @@ Confirmed toxic rows are the positives; the unlabelled rows are drawn from all r
 among them at their natural rate. A linear model over the presence of words minimises the class-prior-corrected risk
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 and where the corrected negative risk falls below 0 the step ascends it, so that it can't overfit to negative values.
-Words enter the model if enough positive rows hold them; weights start at 0 and shrink, so words as frequent in either
-set stay near 0. Training is numpy on bounded samples; scoring runs in Arrow batches on the set of a text's words.
+Features are words and their beginnings, so that a stem counts under any ending. They enter the model if enough positive
+rows hold them, near copies counting once; weights start at 0 and shrink, so features as frequent in either set stay near
+0. Training is numpy on bounded samples; scoring runs in Arrow batches on the set of a text's features.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,12 +26,26 @@ from .common import bounded_sample, score_texts
 
 #: The most rows of either kind that training reads, and the most words of the model.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 3000, 6000, 2000
-MIN_ROWS, THRESHOLD = 6, 0.7
+MIN_ROWS, LIFT, THRESHOLD = 6, 5, 0.7
+#: Lengths of the beginnings of longer words; they carry marks that no word has.
+STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """The distinct words of a text, their beginnings, and the beginnings that two or more of them share."""
+    words = set(_WORD.findall(text.lower()))
+    out = set(words)
+    for n in STEMS:
+        seen = Counter([w[:n] for w in words if len(w) > n])
+        out.update([s + "-" for s in seen])
+        out.update([s + "+" for s, k in seen.items() if k > 1])
+    return out
+
+
+def without_copies(rows: list[set[str]]) -> list[set[str]]:
+    """One row of those that agree in the eight features of the smallest hash, as near copies mostly do."""
+    return list({tuple(sorted(zlib.crc32(w.encode()) for w in t)[:8]): t for t in rows}.values())
 
 
 @dataclass
@@ -52,10 +68,10 @@ def vocabulary(positive: list[set[str]], unlabelled: list[set[str]], prior: floa
         return (p[w] / n - rate) / np.sqrt((rate + 1 / m) * (1 / n + 1 / m))
 
     scored = sorted(((-abs(lift(w)), w) for w in p if p[w] >= MIN_ROWS), key=lambda x: x)
-    return [w for z, w in scored[:MAX_WORDS] if -z > 4]
+    return [w for z, w in scored[:MAX_WORDS] if -z > LIFT]
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 2e-4) -> WordModel:
+def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-5) -> WordModel:
     """Non-negative PU risk with the logistic loss, full-batch Adam; a bias that says `prior` if there are no words."""
     words = vocabulary(positive, unlabelled, prior)
     at = {w: i for i, w in enumerate(words)}
@@ -118,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> WordModel:
 
         return [set(w.split()) for w in words.mapInPandas(distinct, "doc_id string, words string").toPandas().sort_values("doc_id")["words"]]
 
-    return train(collect(positive), collect(others), prior)
+    return train(without_copies(collect(positive)), without_copies(collect(others)), prior)
 
 
 def score(docs: DataFrame, model: WordModel, threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
