@@ -33,37 +33,44 @@ def numeric_columns(cells: DataFrame) -> DataFrame:
     return cells.withColumn("__r", rank).where("__r <= 5").groupBy(*key, "col_name").agg(F.bool_or(hit).alias("is_numeric"))
 
 
+def row_blocks(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, page_no, table_no, row_no, row_type) with kind and block; a ROLLUP or HEADER row begins a block."""
+    kind = row_type(F.col("row_type"))
+    starts = F.coalesce(kind.isin("ROLLUP", "HEADER"), F.lit(False)).cast("long")
+    order = Window.partitionBy("doc_id", "page_no", "table_no").orderBy("row_no")
+    return rows.withColumns({"block": F.sum(starts).over(order), "kind": kind})
+
+
 def detail_ranges(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, page_no, table_no, row_no, row_type) of ROLLUP type with first_detail and last_detail.
+    """rows (doc_id, page_no, table_no, row_no, row_type) of ROLLUP type with first_detail, last_detail and their block.
 
-    A rollup covers the DETAIL rows after it up to the next ROLLUP or HEADER; if there are none, those before it back to
-    the previous one; else nothing. Blocks begin at ROLLUP and HEADER rows, so both are lookups of a block.
+    A rollup covers the DETAIL rows after it up to the next ROLLUP or HEADER, its own block; if there are none, those of
+    the block before; else nothing.
     """
     key = ["doc_id", "page_no", "table_no"]
-    kind = row_type(F.col("row_type"))
-    starts = F.coalesce(kind.isin("ROLLUP", "HEADER"), F.lit(False)).cast("long")
-    placed = rows.withColumn("block", F.sum(starts).over(Window.partitionBy(*key).orderBy("row_no"))).withColumn("kind", kind)
     detail = F.when(F.col("kind") == "DETAIL", F.col("row_no"))
-    block = Window.partitionBy(*key, "block")
-    seen = placed.withColumns({"lo": F.min(detail).over(block), "hi": F.max(detail).over(block)})
-    # the block before: its first row carries the same bounds
-    one = seen.groupBy(*key, "block").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    head = F.min(F.when(F.col("kind") == "ROLLUP", F.col("row_no"))).alias("row_no")
+    one = row_blocks(rows).groupBy(*key, "block").agg(head, F.min(detail).alias("lo"), F.max(detail).alias("hi"))
     order = Window.partitionBy(*key).orderBy("block")
-    back = F.lag("block").over(order) == F.col("block") - 1
+    back = (F.lag("block").over(order) == F.col("block") - 1) & F.col("lo").isNull()
     one = one.withColumns({"back_lo": F.when(back, F.lag("lo").over(order)), "back_hi": F.when(back, F.lag("hi").over(order))})
-    out = seen.where("kind = 'ROLLUP'").select(*key, "row_no", "block").join(one, [*key, "block"])
-    return out.select(*key, "row_no", F.coalesce("lo", "back_lo").alias("first_detail"), F.when(F.col("lo").isNotNull(), F.col("hi")).otherwise(F.col("back_hi")).alias("last_detail"))
+    first, last = F.coalesce("lo", "back_lo"), F.coalesce("hi", "back_hi")
+    of = F.when(first.isNotNull(), F.when(F.col("lo").isNull(), F.col("block") - 1).otherwise(F.col("block")))
+    return one.where(F.col("row_no").isNotNull()).select(*key, "row_no", first.alias("first_detail"), last.alias("last_detail"), of.alias("block"))
 
 
-def rollup_sums(ranges: DataFrame, cells: DataFrame, numeric: DataFrame) -> DataFrame:
-    """For each rollup with details and each numeric column: the spreadsheet formula and the sum of the details."""
+def rollup_sums(rows: DataFrame, cells: DataFrame, numeric: DataFrame) -> DataFrame:
+    """For each rollup with details and each numeric column: the spreadsheet formula and the sum of the details.
+
+    Details meet their rollups by block, of which each has two rollups at most, so the work follows the rows.
+    """
     key = ["doc_id", "page_no", "table_no"]
+    details = row_blocks(rows).where("kind = 'DETAIL'").select(*key, F.col("row_no").alias("at"), "block")
+    covered = detail_ranges(rows).where(F.col("block").isNotNull()).join(details, [*key, "block"]).drop("block")
     columns = numeric.where("is_numeric").select(*key, "col_no")
     number = token_number(F.get(number_tokens(F.col("value")), F.lit(0)))
     values = cells.join(columns, [*key, "col_no"]).select(*key, F.col("row_no").alias("at"), "col_no", number.alias("number"))
-    r = ranges.where(F.col("first_detail").isNotNull())
-    got = r.join(values, key).where(F.col("at").between(F.col("first_detail"), F.col("last_detail")))
-    out = got.groupBy(*key, "row_no", "col_no", "first_detail", "last_detail").agg(F.sum("number").alias("detail_sum"))
+    out = covered.join(values, [*key, "at"]).groupBy(*key, "row_no", "col_no", "first_detail", "last_detail").agg(F.sum("number").alias("detail_sum"))
     letter = column_letter(F.col("col_no") + 1)
     return out.withColumn("formula", F.concat(F.lit("=SUM("), letter, (F.col("first_detail") + 2).cast("string"), F.lit(":"), letter, (F.col("last_detail") + 2).cast("string"), F.lit(")")))
 

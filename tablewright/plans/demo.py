@@ -443,7 +443,7 @@ def rollup_detail_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n_regionkey * 1000 + 900 AS row_no, '=SUM(C' || (lo + 2) || ':C' || (hi + 2) || ')' AS formula, coalesce(cents, 0) AS cents FROM b LEFT JOIN s USING (n_regionkey)""")
 def rollup_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _statement_cells(spark, sf_dir)
-    out = rows.rollup_sums(rows.detail_ranges(_statement_rows(spark, sf_dir)), cells, rows.numeric_columns(cells))
+    out = rows.rollup_sums(_statement_rows(spark, sf_dir), cells, rows.numeric_columns(cells))
     return out.select("row_no", "formula", F.round(F.col("detail_sum") * 100).cast("long").alias("cents"))
 
 
