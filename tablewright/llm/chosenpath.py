@@ -2,13 +2,18 @@
 
 A text is the set of its word 5-grams; texts of equal sets form one set class, so copies cost one row. Each set is
 embedded as SLOTS minimum hashes (one-permutation MinHash), each one a token sampled from the set so that two sets share
-it with probability J, their Jaccard similarity. A run chooses a slot and splits all sets on the token there. Buckets of
-at most SMALL sets are compared by brute force on the embedding. A larger bucket is split again, each time on CHILDREN
-slots chosen by a hash of the path so far; after DEPTH levels what is left is compared in blocks, so no bucket is capped.
-At J = 0.8 one run misses a pair with probability 0.2 (a little over 0.2 where a bucket was split); RUNS runs miss it
-with probability 0.2 ** RUNS, under 1e-4. Pairs whose embeddings agree on less than FLOOR of their slots are dropped
-(more than five standard deviations below 0.8); for all others the exact Jaccard similarity of the whole texts decides.
-Classes are the connected components of the links, found by minimum labels and pointer jumping over written tables.
+it with probability J, their Jaccard similarity. A run chooses a slot and splits all sets on the token there. A bucket of
+more than SMALL sets is split again, each time on CHILDREN slots chosen by a hash of the path so far, for as long as
+splitting more than halves it; what is left is mostly alike. Buckets are then searched by brute force on the embedding
+for sets that agree on FLOOR of the slots (five standard deviations below 0.8), a bucket of more than BLOCK sets as a grid
+of blocks, so none is capped. At J = 0.8 one run misses a pair with probability 0.2, 0.23 where its bucket was split;
+RUNS runs miss it with probability below 1e-5.
+
+A bucket tells only which sets hang together: a row for each set, not for each pair. The connected groups of all runs
+hold every pair that can reach the threshold; within them all pairs are compared exactly, on the sets of the whole texts,
+block by block as matrix products. A block pair returns for each set how many documents it is linked to, and the links'
+own connected groups, which give the classes. Components are found by minimum labels and pointer jumping over written
+tables.
 """
 
 from __future__ import annotations
@@ -19,13 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, score_texts, sorted_groups, text_key
 
 WIDTH, THRESHOLD = 5, 0.8
-RUNS, SLOTS, SMALL, CHILDREN, DEPTH, BLOCK, FLOOR = 6, 64, 512, 3, 2, 1024, 0.45
+RUNS, SLOTS, SMALL, CHILDREN, DEPTH, BLOCK, FLOOR = 8, 64, 1024, 2, 8, 16384, 0.55
+#: Sets of a component that meet in a task: two blocks.
+EXACT_BLOCK, COLUMNS = 512, 8192
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _EDGES = np.arange(SLOTS, dtype=np.uint64) << np.uint64(58)
@@ -97,95 +104,137 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
     return score_texts(keyed, run, "rid binary, n int, sig array<int>", keep_text=False)
 
 
-def _buckets(spark: SparkSession, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, rid, run, half) of all buckets to compare, and (rid, whole): the runs whose first bucket is compared whole."""
+def _grid(rows: DataFrame, group: str, size: Column, block: int) -> DataFrame:
+    """rows with cell and half: a group of more than block rows becomes a grid of block pairs. half: 0 where a block meets
+    itself, else 1 or 2 by the row's side."""
+    g = F.ceil(size / block).cast("long")
+    own = F.pmod(F.xxhash64("rid"), g)
+    spread = rows.withColumn("__b", own).withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), g - 1)))
+    half = F.when(F.col("__b") == F.col("__j"), 0).when(F.col("__b") < F.col("__j"), 1).otherwise(2)
+    return spread.withColumns({"cell": F.xxhash64(group, F.least("__b", "__j"), F.greatest("__b", "__j")), "half": half}).drop("__b", "__j")
+
+
+def _buckets(spark: SparkSession, reps: DataFrame) -> DataFrame:
+    """(key, rid, m) of all buckets to search, of two sets at least; m: their size."""
     slot = np.random.default_rng(11).permutation(SLOTS)[:RUNS]
-    first = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.get("sig", F.lit(int(p)))).alias("key")) for r, p in enumerate(slot)])
-    level = reps.select("rid", F.explode(first).alias("x")).select("rid", "x.run", "x.key")
-    out, whole = None, None
+    first = F.array(*[F.xxhash64(F.lit(r), F.get("sig", F.lit(int(p)))) for r, p in enumerate(slot)])
+    level = reps.select("rid", F.explode(first).alias("key"), F.lit(None).cast("long").alias("parent_m"))
+    out = None
     for depth in range(DEPTH + 1):
-        sized = level.join(level.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 1), "key")
-        sized = materialise(spark, sized, f"path-level-{depth}")
-        small = sized.where(F.col("m") <= SMALL).select("key", "rid", "run", F.lit(0).alias("half"))
-        out = small if out is None else out.unionByName(small)
-        if depth == 0:
-            bit = F.when(F.col("m") <= SMALL, F.expr("shiftleft(1, run)")).otherwise(0)
-            whole = sized.groupBy("rid").agg(F.bit_or(bit).alias("whole"))
-        big = sized.where(F.col("m") > SMALL)
+        sized = level.join(level.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+        alike = F.coalesce(F.col("m") * 2 > F.col("parent_m"), F.lit(False))
+        sized = materialise(spark, sized.withColumn("done", (F.col("m") <= SMALL) | alike | F.lit(depth == DEPTH)), f"path-level-{depth}")
+        ends = sized.where("done").select("key", "rid", "m")
+        out = ends if out is None else out.unionByName(ends)
+        big = sized.where("not done")
         if big.isEmpty():
-            return out, whole
-        if depth < DEPTH:
-            child = F.transform(F.sequence(F.lit(1), F.lit(CHILDREN)), lambda c: F.xxhash64("key", c, F.get("sig", F.pmod(F.xxhash64(c, F.col("key")), F.lit(SLOTS)).cast("int"))))
-            level = big.join(reps.select("rid", "sig"), "rid").select("rid", "run", F.explode(F.array_distinct(child)).alias("key"))
-    # what no split made small: a grid of blocks
-    g = F.ceil(F.col("m") / BLOCK)
-    own = F.pmod(F.xxhash64("rid"), g)
-    grid = big.select("rid", "run", "key", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), g - 1)).alias("j"))
-    half = F.when(F.col("b") == F.col("j"), 0).when(F.col("b") < F.col("j"), 1).otherwise(2)
-    cells = grid.select(F.xxhash64("key", F.least("b", "j"), F.greatest("b", "j")).alias("key"), "rid", "run", half.alias("half"))
-    return out.unionByName(cells), whole
+            return out
+        child = F.transform(F.sequence(F.lit(1), F.lit(CHILDREN)), lambda c: F.xxhash64("key", c, F.get("sig", F.pmod(F.xxhash64(c, F.col("key")), F.lit(SLOTS)).cast("int"))))
+        level = big.join(reps.select("rid", "sig"), "rid").select("rid", F.explode(F.array_distinct(child)).alias("key"), F.col("m").alias("parent_m"))
+    return out
+
+
+def _stars(rid: list, group: np.ndarray) -> tuple[list, list]:
+    """a, b: each row with the first row of its group, but for that row itself."""
+    root: dict[int, bytes] = {}
+    a, b = [], []
+    for r, g in zip(rid, group.tolist(), strict=True):
+        if root.setdefault(g, r) != r:
+            a.append(root[g])
+            b.append(r)
+    return a, b
+
+
+def _near_groups(sig: np.ndarray) -> np.ndarray:
+    """Group numbers: rows that hang together by agreeing on FLOOR of the slots. A search from row to row among those
+    not yet reached, so that a bucket of likes costs little more than its rows."""
+    m = len(sig)
+    group, rest = np.full(m, -1), np.arange(m)
+    while len(rest):
+        front, group[rest[0]] = rest[:1], rest[0]
+        rest, name = rest[1:], rest[0]
+        while len(front) and len(rest):
+            hit = np.zeros(len(rest), bool)
+            for at in range(0, len(front), 16):
+                open_ = np.flatnonzero(~hit)
+                if not len(open_):
+                    break
+                near = (sig[front[at : at + 16], None, :] == sig[rest[open_]][None, :, :]).sum(axis=2, dtype=np.uint8) >= FLOOR * SLOTS
+                hit[open_[near.any(axis=0)]] = True
+            front, rest = rest[hit], rest[~hit]
+            group[front] = name
+    return group
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """key, a, b: pairs of a bucket whose embeddings agree on FLOOR of the slots or more, but for pairs that an earlier
-    run compares."""
-    slot = np.random.default_rng(11).permutation(SLOTS)[:RUNS]
+    """a, b: stars of the sets that hang together in a bucket. rows: cell, rid, sig, sorted by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, "key"):
-            m = group.num_rows
+        for cell in sorted_groups(batches, "cell"):
+            m = cell.num_rows
             if m < 2:
                 continue
-            sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(m, SLOTS)
-            half, whole = group.column("half").to_numpy(), group.column("whole").to_numpy()
-            run_of = group.column("run").to_numpy()
-            rid = group.column("rid").to_pylist()
-            key, a, b = [], [], []
-            for at in range(0, m - 1, 32):
-                part = slice(at, min(at + 32, m))
-                near = (sig[part, None, :] == sig[None, :, :]).sum(axis=2, dtype=np.uint8) >= FLOOR * SLOTS
-                near &= np.arange(m)[None, :] > np.arange(at, part.stop)[:, None]
-                near &= (half[part, None] != half[None, :]) | (half[part, None] == 0)
-                i, j = np.nonzero(near)
-                i += at
-                earlier = (sig[i][:, slot] == sig[j][:, slot]) & ((whole[i][:, None] >> np.arange(RUNS)) & 1).astype(bool) & (np.arange(RUNS)[None, :] < run_of[i][:, None])
-                for x, y in zip(i[ok := ~earlier.any(axis=1)], j[ok], strict=True):
-                    p, q = rid[x], rid[y]
-                    key.append(group.column("key")[0])
-                    a.append(min(p, q))
-                    b.append(max(p, q))
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in key], pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["key", "a", "b"])
-
-    return rows.mapInArrow(run, "key long, a binary, b binary")
-
-
-def _verified(rows: DataFrame, width: int, threshold: float) -> DataFrame:
-    """a, b of the listed pairs whose exact Jaccard similarity reaches the threshold. rows: key, kind (0 text, 1 pair),
-    a (rid), b, text, sorted by key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, "key"):
-            sets, a, b = {}, [], []
-            pairs = []
-            for kind, x, y, t in zip(*(group.column(c).to_pylist() for c in ("kind", "a", "b", "text")), strict=True):
-                if kind:
-                    pairs.append((x, y))
-                else:
-                    sets[x] = shingle_set(t, width)
-            for x, y in pairs:
-                s, t = sets[x], sets[y]
-                if min(len(s), len(t)) < threshold * max(len(s), len(t)) - 1e-9:
-                    continue
-                both = np.intersect1d(s, t, assume_unique=True).size
-                if both >= threshold * (len(s) + len(t) - both) - 1e-9:
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            sig = cell.column("sig").combine_chunks().flatten().to_numpy().reshape(m, SLOTS)
+            a, b = _stars(cell.column("rid").to_pylist(), _near_groups(sig))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two sets have in common."""
+    m = len(sets)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    token, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = n > 1
+    column = (np.cumsum(common) - 1)[at]
+    keep = common[at]
+    row, column, width = row[keep], column[keep], int(common.sum())
+    out = np.zeros((m, m), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, width, COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        x = np.zeros((m, min(COLUMNS, width - start)), np.float32)
+        x[row[lo:hi], column[lo:hi] - start] = 1
+        out += x @ x.T
+    return out
+
+
+def _links(rows: DataFrame, width: int, threshold: float) -> DataFrame:
+    """rid, linked (documents of other sets at the threshold or above, as far as this cell shows), root (null, or a set it
+    is linked with). rows: cell, rid, half, size, text, sorted by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in sorted_groups(batches, "cell"):
+            if cell.num_rows < 2:
+                continue
+            rid, half, size = cell.column("rid").to_pylist(), cell.column("half").to_numpy(), cell.column("size").to_numpy()
+            sets = [shingle_set(t, width) for t in cell.column("text").to_pylist()]
+            n = np.array([len(s) for s in sets], np.float64)
+            both = _shared(sets)
+            link = both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9
+            np.fill_diagonal(link, False)
+            link &= (half[:, None] != half[None, :]) | (half[:, None] == 0)
+            linked = link @ size
+            root = [None] * len(rid)
+            rest = np.flatnonzero(linked)
+            while len(rest):
+                front, first = rest[:1], rid[rest[0]]
+                rest = rest[1:]
+                while len(front):
+                    hit = link[front][:, rest].any(axis=0)
+                    front, rest = rest[hit], rest[~hit]
+                    for i in front:
+                        root[i] = first
+            some = np.flatnonzero(linked)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([rid[i] for i in some], pa.binary()), pa.array(linked[some].astype(np.int64)), pa.array([root[i] for i in some], pa.binary())], names=["rid", "linked", "root"])
+
+    return rows.mapInArrow(run, "rid binary, linked long, root binary")
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """v, label (the least vertex of its component) for links (a, b) of any orderable type."""
     both = materialise(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "cc-edges")
@@ -212,27 +261,24 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, th
     prints = materialise(spark, _prints(docs, width), "path-prints")
     reps = prints.where(F.col("rid").isNotNull()).groupBy("rid").agg(F.count("*").alias("size"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "tk1", "tk2")).alias("least"), F.first("sig").alias("sig"))
     reps = materialise(spark, reps, "path-reps")
-    buckets, whole = _buckets(spark, reps)
-    members = buckets.join(reps.select("rid", "sig"), "rid").join(whole, "rid", "left")
-    members = members.select("key", "rid", "run", "half", "sig", F.coalesce("whole", F.lit(0)).alias("whole"))
-    found = _candidates(members.repartition("key").sortWithinPartitions("key"))
-    pairs = materialise(spark, found.groupBy("a", "b").agg(F.min("key").alias("key")), "path-pairs")
-
-    wanted = pairs.select("key", F.col("a").alias("rid")).union(pairs.select("key", "b")).distinct()
-    source = reps.join(wanted.select("rid").distinct(), "rid", "left_semi").select("rid", "least.*")
+    buckets = _grid(_buckets(spark, reps), "key", F.col("m"), BLOCK).select("cell", "rid")
+    members = buckets.join(reps.select("rid", "sig"), "rid")
+    stars = _candidates(members.repartition("cell").sortWithinPartitions("cell")).distinct()
+    near = components(spark, stars)
+
+    sized = near.groupBy("label").agg(F.count("*").alias("m"))
+    chosen = near.withColumnRenamed("v", "rid").join(sized, "label").join(reps.select("rid", "size", "least.*"), "rid")
+    chosen = materialise(spark, chosen, "path-near")
     keyed = docs.select("doc_id", *text_key(F.col("text")), "text").alias("d")
-    s = source.alias("s")
+    s = chosen.select("rid", "doc_id", "tk1", "tk2").alias("s")
     on = (F.col("d.tk1") == F.col("s.tk1")) & (F.col("d.tk2") == F.col("s.tk2")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
-    texts = keyed.join(s, on).groupBy("rid").agg(F.first("text").alias("text"))
-    none = F.lit(None)
-    rows = wanted.join(texts, "rid").select("key", F.lit(0).alias("kind"), F.col("rid").alias("a"), none.cast("binary").alias("b"), "text")
-    rows = rows.union(pairs.select("key", F.lit(1), "a", "b", none.cast("string")))
-    links = materialise(spark, _verified(rows.repartition("key").sortWithinPartitions("key"), width, threshold), "path-links")
-
-    label = components(spark, links)
-    both = links.select("a", "b").union(links.select("b", "a"))
-    degree = both.join(reps.select(F.col("rid").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("linked"))
-    of = reps.join(label.withColumnRenamed("v", "rid"), "rid", "left").join(degree.withColumnRenamed("a", "rid"), "rid", "left")
+    texts = keyed.join(s, on).select("rid", "text").dropDuplicates(["rid"])
+    cells = _grid(chosen.join(texts, "rid"), "label", F.col("m"), EXACT_BLOCK).select("cell", "rid", "half", "size", "text")
+    links = materialise(spark, _links(cells.repartition("cell").sortWithinPartitions("cell"), width, threshold), "path-links")
+
+    label = components(spark, links.where(F.col("root").isNotNull()).select(F.col("root").alias("a"), F.col("rid").alias("b")).distinct())
+    degree = links.groupBy("rid").agg(F.sum("linked").alias("linked"))
+    of = reps.join(label.withColumnRenamed("v", "rid"), "rid", "left").join(degree, "rid", "left")
     of = of.select("rid", F.coalesce("label", "rid").alias("label"), "least_id", "least", (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     heads = of.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min("least").alias("head"))
     info = materialise(spark, of.join(heads, "label").select("rid", "class_id", "head", "n_links"), "path-classes")
