@@ -51,6 +51,7 @@ def remove_cross_site_lines(spark: SparkSession, docs: DataFrame, min_sites: int
     text, line = F.col("text"), F.col("line")
     texts = docs.where(text.isNotNull()).select(*text_key(text), F.explode(_lines(text)).alias("line")).where(F.trim(line) != "").select("tk1", "tk2", *_line_key(line))
     per_text = texts.join(bad, ["l1", "l2"], "left_semi").groupBy("tk1", "tk2").agg(F.collect_set(F.struct("l1", "l2")).alias("__bad"))
+    per_text = materialise(spark, per_text, "line-texts")  # so that the join has exchanges of its own, which can be split where a text is frequent
     k1, k2 = text_key(text)
     joined = docs.withColumns({"__tk1": k1, "__tk2": k2}).join(per_text.withColumnsRenamed({"tk1": "__b1", "tk2": "__b2"}), (F.col("__tk1") == F.col("__b1")) & (F.col("__tk2") == F.col("__b2")), "left")
     kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__bad"), F.struct(*_line_key(x))))
