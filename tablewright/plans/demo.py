@@ -15,7 +15,7 @@ from ..functions.numbers import NUMBER
 from ..operators import merge, normalize, quality, reconcile, route, rows
 from ..operators.quality import ODD_RUN, SIGN_RUN
 from ..schema import TABLE_KEY
-from ..sinks import naming, report
+from ..sinks import csvtext, naming, report
 from ..sources import files, pages, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,15 +278,27 @@ SELECT doc_id, row_no, col_no, col_name, value FROM (SELECT doc_id, row_no, unne
   unnest([CAST(n_nationkey AS VARCHAR), n_name || ', ' || doc_id, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'x "y" ' || n_nationkey END]) AS value FROM n)"""
 
 
-@_query(_NATION_CELLS)
-def table_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw tables, a header and a row for each nation, to cells."""
     note = F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit('x "y" '), F.col("n_nationkey").cast("string")))
     row = F.array(F.col("n_nationkey").cast("string"), F.concat("n_name", F.lit(", "), "r_name"), note)
     r = _nation_rows(spark, sf_dir).groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))).alias("x"))
     header = F.array(F.array(F.lit("key"), F.lit("name"), F.lit("note")))
     raw = r.select(F.col("r_name").alias("doc_id"), F.lit(1).alias("page_no"), F.lit(1).alias("table_no"), F.concat(header, F.transform("x", lambda x: x["r"])).alias("rows"))
-    return _long(normalize.promote_header(raw), "row_no").select("doc_id", "row_no", "col_no", "col_name", "value")
+    return normalize.promote_header(raw)
+
+
+@_query(_NATION_CELLS)
+def table_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_nation_cells(spark, sf_dir), "row_no").select("doc_id", "row_no", "col_no", "col_name", "value")
+
+
+@_query(f"""WITH c AS ({_NATION_CELLS}), b AS (
+  SELECT doc_id, row_no, string_agg(CASE WHEN value IS NULL THEN '' WHEN regexp_matches(value, '[",]') THEN '"' || replace(value, '"', '""') || '"' ELSE value END, ',' ORDER BY col_no) AS line FROM c GROUP BY ALL)
+SELECT doc_id, row_no, line FROM b UNION ALL SELECT DISTINCT doc_id, -1, 'key,name,note' FROM c""")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tables as CSV text."""
+    return _long(csvtext.csv_lines(_nation_cells(spark, sf_dir)), "row_no").select("doc_id", "row_no", "line")
 
 
 @_query(_NATION_CELLS)

@@ -3,7 +3,7 @@ import pytest
 from tablewright.operators import merge, normalize, quality, reconcile, rows
 from tablewright.plans.convert import convert
 from tablewright.schema import CELLS, PAGES, RAW_TABLES
-from tablewright.sinks import naming, workbook
+from tablewright.sinks import csvtext, naming, report, workbook
 from tablewright.sources import config, files, pages, responses
 from tablewright.streaming.staging import stage_cells
 
@@ -104,6 +104,32 @@ def test_broken_files_fail_no_job(spark):
     assert sorted(r.doc_id for r in tables.collect()) == ["a", "b"]
 
 
+def test_live_and_replayed_answers(spark):
+    def extractor(image, page):
+        if page == 2:
+            raise TimeoutError("slow")
+        return f"a\n{image.decode()}{page}"
+
+    shots = spark.createDataFrame([("d", 1, bytearray(b"x")), ("d", 2, bytearray(b"y"))], "doc_id string, page_no int, image binary")
+    live = pages.extract_live(shots, extractor, 2)
+    assert sorted((r.page_no, r.csv_text, r.error) for r in live.collect()) == [(1, "a\nx1", None), (2, None, "TimeoutError: slow")]
+    assert [r.page_no for r in pages.replay(shots, live.where("error is null")).collect()] == [1]
+
+
+def test_csv(spark, tmp_path):
+    csvtext.write_csv(cells_of(spark, [["a,b", None], ['say "x"', "line\nbreak"]], names=["n", "m"]), str(tmp_path / "csv"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "csv"), wholetext=True).select("value").collect()]
+    assert lines == ['n,m\n"a,b",\n"say ""x""","line\nbreak"\n']
+
+
+def test_report(spark):
+    source = spark.createDataFrame([("d", "1 2 x"), ("e", "3")], "doc_id string, text string")
+    compared = reconcile.compare(reconcile.page_numbers(source), reconcile.cell_numbers(cells_of(spark, [["1"], ["5"]])))
+    docs = spark.createDataFrame([("d", True), ("e", True), ("f", False)], "doc_id string, has_text boolean")
+    got = {r.doc_id: r.report for r in report.reports(reconcile.summary(compared, docs), compared).collect()}
+    assert "| 2 | 2 | 1 | 50.00% |" in got["d"] and "## Missing" in got["d"] and "| 5.00 | 0 | 1 |" in got["d"] and "Skipped" in got["f"]
+
+
 def test_shrink():
     sizes = []
 
