@@ -99,14 +99,14 @@ def workbooks(cells: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("doc_id").applyInPandas(build, f"doc_id {kind}, content binary")
 
 
-def write_workbooks(books: DataFrame, folder: str) -> None:
-    """Write each workbook to folder/<doc_id>.xlsx through Hadoop's file system, by a temporary name. The driver streams
-    them one by one, as executors have no handle on that file system from Python."""
+def write_workbooks(books: DataFrame, folder: str | None = None) -> None:
+    """Write each workbook to its path (a column), or to folder/<doc_id>.xlsx, through Hadoop's file system, by a temporary
+    name. The driver streams them one by one, as executors have no handle on that file system from Python."""
     spark = books.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for row in books.toLocalIterator():
-        name = re.sub(r"[^\w.-]+", "_", str(row["doc_id"]))
-        path, temp = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.xlsx"), jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}.tmp")
+        target = row["path"] if folder is None else f"{folder}/" + re.sub(r"[^\w.-]+", "_", str(row["doc_id"])) + ".xlsx"
+        path, temp = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(f"{target}.tmp")
         fs = path.getFileSystem(conf)
         out = fs.create(temp, True)
         out.write(bytearray(row["content"]))

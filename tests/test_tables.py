@@ -172,3 +172,28 @@ def test_config(monkeypatch):
 def test_clean_cells(spark):
     got = normalize.clean_cells(cells_of(spark, [["10,947 (", "3,094)(", "578)(", "173"]])).orderBy("col_no").collect()
     assert [r.value for r in got] == ["10,947", "(3,094)", "(578)", "(173)"]
+
+
+def test_convert_directory(spark, tmp_path):
+    from tablewright.plans.batch import convert_directory
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, data in (("a.pdf", b"text"), ("sub/b.pdf", b"scan"), ("c.pdf", b"bad"), ("d.png", b"shot"), ("e.pdf", b"none")):
+        (tmp_path / "in" / name).write_bytes(data)
+
+    def page_reader(content):
+        if content == b"bad":
+            raise ValueError("broken")
+        return [(1, "Rent 10 and Total 10", int(content == b"scan"))]
+
+    def table_reader(content, how):
+        return [(1, 1, [["Row_Type", "Category", "Y"], ["DETAIL", "Rent", "10"], ["ROLLUP", "Total", "10"]])] if content == b"text" and not how else []
+
+    here = f"file:{tmp_path}/in"
+    answers = spark.createDataFrame([(f"{here}/sub/b.pdf", 1, "A,B\n5 (,7"), (f"{here}/d.png", 1, "```\nX,Y\n1,2\n```")], "doc_id string, page_no int, csv_text string")
+    status = convert_directory(spark, f"{tmp_path}/in", f"file:{tmp_path}/out", f"file:{tmp_path}/staging", page_reader, table_reader, answers, recursive=True)
+    got = {r.path.rsplit("/", 1)[1]: r.status for r in status.collect()}
+    assert got == {"a.pdf": "success", "b.pdf": "success", "c.pdf": "failed", "d.png": "success", "e.pdf": "no_tables"}
+    assert sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*.xlsx")) == ["a_pdf.xlsx", "d_png.xlsx", "sub/b_pdf.xlsx"]
+    assert workbook.read_workbook((tmp_path / "out/sub/b_pdf.xlsx").read_bytes())["Sheet1"] == [["A", "B"], ["5", "(7)"]]
+    assert {r.doc_id.rsplit("/", 1)[1] for r in spark.read.parquet(f"{tmp_path}/out/_reports").collect()} == {"a.pdf", "b.pdf", "e.pdf"}
