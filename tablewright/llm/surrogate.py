@@ -36,10 +36,9 @@ SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re
 _TITLE = "(?:" + "|".join([*MALE_TITLES, *FEMALE_TITLES]) + r")\.?"
 _NAME = r"\p{Lu}[\p{L}'-]{1,30}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: In the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
-    "secret": r"""(?<=(?:token|secret|passwd|password|api_key|key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_-]{16,128}""",
+    "secret": r"""(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{16})(?<=(?:token|secret|passwd|password|api_key|key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_-]{16,128}""",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
@@ -47,7 +46,13 @@ PATTERNS = {
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME})?",
 }
-ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+def _any(*kinds: str) -> str:
+    return "(?:" + "|".join(PATTERNS[k] for k in kinds) + ")"
+
+
+#: Two quick looks keep the alternatives from being tried inside words.
+ENTITY = r"(?<![\p{L}\p{N}])" + _any("email", "secret", "iban", "name") + "|(?=[0-9+(])" + _any("phone", "ip", "card", "national")
 #: What every text with an entity has; cheap to look for.
 HINT = rf"@|[0-9]{{2}}|[0-9]\.[0-9]|(?:token|secret|passwd|password|key)\s{{0,2}}[=:]|{_TITLE} \p{{Lu}}"
 ROUNDS = 24
@@ -82,11 +87,16 @@ def _pick(words: list[str], hexes: Column, start: int) -> Column:
     return F.get(F.array(*map(F.lit, words)), F.pmod(F.conv(F.substr(hexes, F.lit(start), F.lit(6)), 16, 10).cast("int"), F.lit(len(words))))
 
 
-def surrogate(key: str, kind: Column, part: Column, draw: Column) -> Column:
-    """The draw-th surrogate of a part of this kind."""
-    hexes = _stream(key, kind, part, draw)
+def with_surrogate(parts: DataFrame, key: str) -> DataFrame:
+    """parts (kind, part, draw) with the draw-th surrogate of each part. In steps, each of which stays a projection of its
+    own, so that the hash is made once and generated methods stay small."""
+    hashed = parts.withColumn("__hex", _stream(key, F.col("kind"), F.col("part"), F.col("draw")))
+    shaped = hashed.withColumn("__shaped", _shaped(F.col("part"), F.col("__hex")))
+    return shaped.withColumn("surrogate", _surrogate(F.col("kind"), F.col("part"), F.col("draw"), F.col("__hex"), F.col("__shaped"))).drop("__hex", "__shaped")
+
+
+def _surrogate(kind: Column, part: Column, draw: Column, hexes: Column, shaped: Column) -> Column:
     byte = lambda i: F.conv(F.substr(hexes, F.lit(2 * i + 1), F.lit(2)), 16, 10).cast("int")
-    shaped = _shaped(part, hexes)
     tail = lambda n: F.substr(shaped, F.lit(n + 1), F.greatest(F.length(part) - n, F.lit(0)))
     country = F.length(F.regexp_extract(part, r"^(\+[0-9]{1,3}(?=[^0-9])|)", 1))
     phone = F.concat(F.substr(part, F.lit(1), country), F.substr(shaped, country + 1, F.length(part)))
@@ -134,15 +144,15 @@ def parts_of(entity: Column) -> Column:
 def assign(spark: SparkSession, parts: DataFrame, key: str) -> DataFrame:
     """kind, part, surrogate for distinct (kind, part): within a kind all surrogates differ, and none equals a part."""
     real = parts.select(F.col("part").alias("surrogate")).distinct()
-    now = materialise(spark, parts.select("kind", "part", F.lit(0).alias("draw")).withColumn("surrogate", surrogate(key, F.col("kind"), F.col("part"), F.col("draw"))), "pii-draw-0")
+    now = materialise(spark, with_surrogate(parts.select("kind", "part", F.lit(0).alias("draw")), key), "pii-draw-0")
     for step in range(1, ROUNDS):
         firsts = now.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "part")).alias("first"), F.count("*").alias("n")).where("n > 1")
         met = now.join(firsts, ["kind", "surrogate"]).where(F.struct("draw", "part") != F.col("first")).select("kind", "part")
-        met = met.union(now.join(real, "surrogate", "left_semi").select("kind", "part")).distinct().withColumn("again", F.lit(True))
+        met = met.union(now.join(real, "surrogate", "left_semi").select("kind", "part")).distinct()
         if met.isEmpty():
             return now.select("kind", "part", "surrogate")
-        draw = F.col("draw") + F.when(F.col("again"), 1).otherwise(0)
-        moved = now.join(met, ["kind", "part"], "left").select("kind", "part", draw.alias("draw"), F.when(F.col("again"), surrogate(key, F.col("kind"), F.col("part"), draw)).otherwise(F.col("surrogate")).alias("surrogate"))
+        again = now.join(met, ["kind", "part"], "left_semi").select("kind", "part", (F.col("draw") + 1).alias("draw"))
+        moved = now.join(met, ["kind", "part"], "left_anti").unionByName(with_surrogate(again, key))
         now = materialise(spark, moved, f"pii-draw-{step}")
     raise RuntimeError(f"surrogates still meet after {ROUNDS} draws")
 
