@@ -121,7 +121,8 @@ def _buckets(spark: SparkSession, reps: DataFrame) -> DataFrame:
     level = reps.select("rid", F.explode(first).alias("key"), F.lit(None).cast("long").alias("parent_m"))
     out = None
     for depth in range(DEPTH + 1):
-        sized = level.join(level.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+        counts = materialise(spark, level.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"path-counts-{depth}")
+        sized = level.join(counts, "key")
         alike = F.coalesce(F.col("m") * 2 > F.col("parent_m"), F.lit(False))
         sized = materialise(spark, sized.withColumn("done", (F.col("m") <= SMALL) | alike | F.lit(depth == DEPTH)), f"path-level-{depth}")
         ends = sized.where("done").select("key", "rid", "m")
@@ -272,7 +273,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, width: int = WIDTH, th
     keyed = docs.select("doc_id", *text_key(F.col("text")), "text").alias("d")
     s = chosen.select("rid", "doc_id", "tk1", "tk2").alias("s")
     on = (F.col("d.tk1") == F.col("s.tk1")) & (F.col("d.tk2") == F.col("s.tk2")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
-    texts = keyed.join(s, on).select("rid", "text").dropDuplicates(["rid"])
+    # a shuffle at any size: the sets of near groups grow with the corpus
+    texts = keyed.join(s.hint("merge"), on).select("rid", "text").dropDuplicates(["rid"])
     cells = _grid(chosen.join(texts, "rid"), "label", F.col("m"), EXACT_BLOCK).select("cell", "rid", "half", "size", "text")
     links = materialise(spark, _links(cells.repartition("cell").sortWithinPartitions("cell"), width, threshold), "path-links")
 
