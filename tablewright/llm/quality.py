@@ -75,7 +75,7 @@ def train(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, rate:
     that they stay ordered."""
     n, width = x.shape
     used = np.flatnonzero(x.any(axis=0))
-    x = np.ascontiguousarray(x[:, used], dtype=np.float32)
+    x = x[:, used].astype(np.float32)
     above = [(grade >= k).mean() if n else 0.5 for k in range(1, grades)]
     cut = [-np.log(np.clip(p, 0.01, 0.99) / (1 - np.clip(p, 0.01, 0.99))) for p in above]
     raw = np.array([cut[0], *np.log(np.maximum(np.diff(cut), 0.05))])
@@ -123,8 +123,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = M
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "grade": pdf["grade"].astype("int32"), "x": x})
 
     got = rows.mapInPandas(featurise, "doc_id string, grade int, x binary").toPandas().sort_values("doc_id")
-    x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, WIDTH), np.float32)
-    return train(x, got["grade"].to_numpy(dtype=np.int64), grades)
+    x, grade = np.zeros((len(got), WIDTH), np.float16), got["grade"].to_numpy(dtype=np.int64)
+    for i, b in enumerate(got.pop("x")):
+        x[i] = np.frombuffer(b, np.float16)
+    return train(x, grade, grades)
 
 
 def keep_selected(docs: DataFrame, model: OrdinalModel, select_grade: int = SELECT_GRADE, select_at: float = SELECT_AT) -> DataFrame:
