@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, score_texts
+from .common import bounded_sample, materialise, score_texts
 
 #: The most rows of either kind that training reads, and the most words of the model.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 3000, 6000, 2000
@@ -43,9 +43,10 @@ def tokens(text: str) -> set[str]:
     return out
 
 
-def without_copies(rows: list[set[str]]) -> list[set[str]]:
-    """One row of those that agree in the eight features of the smallest hash, as near copies mostly do."""
-    return list({tuple(sorted(zlib.crc32(w.encode()) for w in t)[:8]): t for t in rows}.values())
+def copy_key(text: str) -> str:
+    """Equal for texts that agree in the sixteen word triples of the smallest hash, as near copies mostly do."""
+    words = text.lower().split()
+    return " ".join(map(str, sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:16]))
 
 
 @dataclass
@@ -58,64 +59,79 @@ class WordModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def vocabulary(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> list[str]:
+def vocabulary(positive: list[set[str]], unlabelled: list[set[str]]) -> list[str]:
     """Words of MIN_ROWS positive rows at least whose rate there clearly exceeds, or falls below, the unlabelled rate."""
     p, u = Counter(w for t in positive for w in t), Counter(w for t in unlabelled for w in t)
     n, m = max(len(positive), 1), max(len(unlabelled), 1)
+    scored = sorted((-abs(_lift(p[w], n, u[w], m)), w) for w in p if p[w] >= MIN_ROWS)
+    return [w for z, w in scored[:MAX_WORDS] if -z > LIFT]
 
-    def lift(w: str) -> float:
-        rate = u[w] / m
-        return (p[w] / n - rate) / np.sqrt((rate + 1 / m) * (1 / n + 1 / m))
 
-    scored = sorted(((-abs(lift(w)), w) for w in p if p[w] >= MIN_ROWS), key=lambda x: x)
-    return [w for z, w in scored[:MAX_WORDS] if -z > LIFT]
+def _lift(p, n, u, m):
+    """How many standard errors p of n is above u of m; for numbers and columns alike."""
+    return (p / n - u / m) / ((u / m + 1 / m) * (1 / n + 1 / m)) ** 0.5
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-5) -> WordModel:
-    """Non-negative PU risk with the logistic loss, full-batch Adam; a bias that says `prior` if there are no words."""
-    words = vocabulary(positive, unlabelled, prior)
-    at = {w: i for i, w in enumerate(words)}
+def minimise(words: list[str], positive: Counter, unlabelled: Counter, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 2e-5) -> WordModel:
+    """Non-negative PU risk with the logistic loss, full-batch Adam; a bias that says `prior` if there are no words.
+
+    Rows are counters of tuples of word numbers: most rows hold few of the words, and equal rows are one.
+    """
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled or not words:
         return WordModel({}, start)
 
-    def matrix(rows: list[set[str]]) -> np.ndarray:
+    def matrix(rows: Counter) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(rows), len(words)), np.float32)
         for i, t in enumerate(rows):
-            x[i, [at[w] for w in at.keys() & t]] = 1
-        return x
+            x[i, list(t)] = 1
+        n = np.array(list(rows.values()), np.float32)
+        return x, n / n.sum()
 
-    # equal rows are one row with a count: most hold none of the words
-    def merged(rows: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        x, n = np.unique(matrix(rows), axis=0, return_counts=True)
-        return x, (n / len(rows)).astype(np.float32)
-
-    (xp, wp), (xu, wu) = merged(positive), merged(unlabelled)
+    (xp, wp), (xu, wu) = matrix(positive), matrix(unlabelled)
     w, b = np.zeros(len(words), np.float32), start
     m, s = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        zp, zu = xp @ w + b, xu @ w + b
+        zp, zu = xp @ w + np.float32(b), xu @ w + np.float32(b)
         negative = wu @ np.logaddexp(0, zu) - prior * (wp @ np.logaddexp(0, zp))
         gp, gpn, gu = -prior * wp * (1 - sig(zp)), -prior * wp * sig(zp), wu * sig(zu)
-        if negative >= 0:
-            g_rows_p, g_rows_u = gp + gpn, gu
-        else:
-            g_rows_p, g_rows_u = -gpn, -gu
-        g = np.append(xp.T @ g_rows_p + xu.T @ g_rows_u + decay * w, g_rows_p.sum() + g_rows_u.sum())
+        g_p, g_u = (gp + gpn, gu) if negative >= 0 else (-gpn, -gu)
+        g = np.append(g_p.astype(np.float32) @ xp + g_u.astype(np.float32) @ xu + decay * w, g_p.sum() + g_u.sum())
         m += 0.1 * (g - m)
         s += 0.001 * (g * g - s)
         d = rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
         w, b = w - d[:-1].astype(np.float32), b - d[-1]
-    return WordModel({x: float(w[i]) for x, i in at.items()}, float(b))
+    return WordModel(dict(zip(words, map(float, w), strict=True)), float(b))
+
+
+def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float) -> WordModel:
+    """From sets of features in memory."""
+    words = vocabulary(positive, unlabelled)
+    at = {w: i for i, w in enumerate(words)}
+    rows = lambda sets: Counter(tuple(sorted(at[w] for w in at.keys() & t)) for t in sets)
+    return minimise(words, rows(positive), rows(unlabelled), prior)
+
+
+def _sample(base: DataFrame, ids: DataFrame, kind: int) -> DataFrame:
+    """kind, doc_id, key, text of the rows of these ids; of rows that repeat an id one."""
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"kind": kind, "doc_id": pdf["doc_id"].astype(str), "key": [copy_key(t) for t in pdf["text"]], "text": pdf["text"]})
+
+    rows = base.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.mapInPandas(keyed, "kind int, doc_id string, key string, text string")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> WordModel:
     """Learn from docs (doc_id, text) where learn (a condition on doc_id) holds, with labels (doc_id, toxic).
 
-    Positives: rows labelled 1. Unlabelled: all rows of non-null text, without regard to labels. The class prior is the share of 1 among the
-    labelled rows that may be learned from. Both samples are bounded (MAX_POSITIVE, MAX_UNLABELLED), by id hash; of rows
-    that repeat an id one counts. No positive row: every score is a small constant.
+    Positives: rows labelled 1. Unlabelled: all rows of non-null text, without regard to labels. The class prior is the
+    share of 1 among the labelled rows that may be learned from. Both samples are bounded (MAX_POSITIVE, MAX_UNLABELLED),
+    by id hash; of rows that repeat an id one counts, and of near copies. The words are counted by Spark; the driver gets
+    those of the model and, for each row of the samples, which of them it holds. No positive row: every score is a small
+    constant.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, ones = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
@@ -124,17 +140,35 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> WordModel:
     base = docs.where(F.col("text").isNotNull() & key.isNotNull() & learn).select("doc_id", "text")
     positive = bounded_sample(known.where(F.col("toxic") == 1).select("doc_id"), key, MAX_POSITIVE)
     others = bounded_sample(base.select("doc_id").distinct(), key, MAX_UNLABELLED)
-
-    def collect(ids: DataFrame) -> list[set[str]]:
-        words = base.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-
-        def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "words": [" ".join(sorted(tokens(t))) for t in pdf["text"]]})
-
-        return [set(w.split()) for w in words.mapInPandas(distinct, "doc_id string, words string").toPandas().sort_values("doc_id")["words"]]
-
-    return train(without_copies(collect(positive)), without_copies(collect(others)), prior)
+    both = _sample(base, positive, 1).union(_sample(base, others, 0))
+    rows = materialise(docs.sparkSession, both.groupBy("kind", "key").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("kind", "x.text"), "pu-sample")
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 500):
+                part = pdf.iloc[a : a + 500]
+                of = [Counter(), Counter()]
+                for kind, text in zip(part["kind"], part["text"], strict=True):
+                    of[kind].update(tokens(text))
+                w = list(of[0].keys() | of[1].keys())
+                yield pd.DataFrame({"w": w, "p": [of[1][x] for x in w], "u": [of[0][x] for x in w]})
+
+    sizes = dict(rows.groupBy("kind").count().collect())
+    n, m = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
+    words = rows.mapInPandas(counts, "w string, p long, u long").groupBy("w").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= MIN_ROWS)
+    words = words.withColumn("z", F.abs(_lift(F.col("p"), n, F.col("u"), m))).where(F.col("z") > LIFT).orderBy(F.desc("z"), "w").limit(MAX_WORDS)
+    chosen = [r["w"] for r in words.collect()]
+    at = {w: i for i, w in enumerate(chosen)}
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"kind": pdf["kind"], "held": [sorted(at[w] for w in at.keys() & tokens(t)) for t in pdf["text"]]})
+
+    got: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for kind, which in rows.mapInPandas(held, "kind int, held array<int>").collect():
+        got[kind][tuple(which)] += 1
+    ordered = {k: Counter(dict(sorted(c.items()))) for k, c in got.items()}
+    return minimise(chosen, ordered[1], ordered[0], prior)
 
 
 def score(docs: DataFrame, model: WordModel, threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
