@@ -43,10 +43,11 @@ def tokens(text: str) -> set[str]:
     return out
 
 
-def copy_key(text: str) -> str:
-    """Equal for texts that agree in the sixteen word triples of the smallest hash, as near copies mostly do."""
+def copy_keys(text: str, keys: int = 3) -> list[str]:
+    """Near copies mostly agree in one of these at least: the three word triples of the smallest hash, for several seeds."""
     words = text.lower().split()
-    return " ".join(map(str, sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:16]))
+    triples = {" ".join(words[i : i + 3]).encode() for i in range(max(1, len(words) - 2))}
+    return [" ".join(map(str, sorted(zlib.crc32(t, seed) for t in triples)[:3])) for seed in range(1, keys + 1)]
 
 
 @dataclass
@@ -114,14 +115,14 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float) ->
 
 
 def _sample(base: DataFrame, ids: DataFrame, kind: int) -> DataFrame:
-    """kind, doc_id, key, text of the rows of these ids; of rows that repeat an id one."""
+    """kind, doc_id, keys, text of the rows of these ids; of rows that repeat an id one."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"kind": kind, "doc_id": pdf["doc_id"].astype(str), "key": [copy_key(t) for t in pdf["text"]], "text": pdf["text"]})
+            yield pd.DataFrame({"kind": kind, "doc_id": pdf["doc_id"].astype(str), "keys": [copy_keys(t) for t in pdf["text"]], "text": pdf["text"]})
 
     rows = base.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return rows.mapInPandas(keyed, "kind int, doc_id string, key string, text string")
+    return rows.mapInPandas(keyed, "kind int, doc_id string, keys array<string>, text string")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> WordModel:
@@ -141,7 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> WordModel:
     positive = bounded_sample(known.where(F.col("toxic") == 1).select("doc_id"), key, MAX_POSITIVE)
     others = bounded_sample(base.select("doc_id").distinct(), key, MAX_UNLABELLED)
     both = _sample(base, positive, 1).union(_sample(base, others, 0))
-    rows = materialise(docs.sparkSession, both.groupBy("kind", "key").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("kind", "x.text"), "pu-sample")
+    for i in range(3):  # one of those that share a key
+        both = both.groupBy("kind", F.get("keys", F.lit(i)).alias("key")).agg(F.min(F.struct("doc_id", "keys", "text")).alias("x")).select("kind", "x.*")
+    rows = materialise(docs.sparkSession, both.select("kind", "text"), "pu-sample")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
