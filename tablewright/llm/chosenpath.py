@@ -241,8 +241,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     both = materialise(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")), "cc-edges")
     label = materialise(spark, both.groupBy("v").agg(F.least("v", F.min("u")).alias("label")), "cc-0")
     for step in range(1, 100):
-        around = both.join(label.select(F.col("v").alias("u"), F.col("label").alias("near")), "u").groupBy("v").agg(F.min("near").alias("near"))
-        closer = label.join(around, "v").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        seen = both.join(label.select(F.col("v").alias("u"), F.col("label").alias("l")), "u").select("v", "l", F.lit(None).alias("was"))
+        own = label.select("v", F.col("label").alias("l"), F.col("label").alias("was"))
+        closer = own.unionByName(seen).groupBy("v").agg(F.min("l").alias("label"), F.max("was").alias("was"))
         jump = label.select(F.col("v").alias("label"), F.col("label").alias("far"))
         after = materialise(spark, closer.join(jump, "label", "left").select("v", "was", F.least("label", F.coalesce("far", "label")).alias("label")), f"cc-{step}")
         label = after.select("v", "label")
