@@ -1,13 +1,13 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is the set of its word 5-grams; texts of equal sets form one set class, so copies cost one row. Each set is
-embedded as SLOTS minimum hashes (one-permutation MinHash), each one a token sampled from the set so that two sets share
-it with probability J, their Jaccard similarity. A run chooses a slot and splits all sets on the token there. A bucket of
+embedded as SLOTS minimum hashes, each by a hash function of its own, whatever the set's size: two sets share each with
+probability J, their Jaccard similarity, and independently of the others, also where they have few shingles. A run chooses a slot and splits all sets on the token there. A bucket of
 more than SMALL sets is split again, each time on CHILDREN slots chosen by a hash of the path so far, for as long as
 splitting more than halves it; what is left is mostly alike. Buckets are then searched by brute force on the embedding
-for sets that agree on FLOOR of the slots (five standard deviations below 0.8), a bucket of more than BLOCK sets as a grid
-of blocks, so none is capped. At J = 0.8 one run misses a pair with probability 0.2, 0.23 where its bucket was split;
-RUNS runs miss it with probability below 1e-5.
+for sets that agree on FLOOR of the slots (five standard deviations below 0.8: a binomial tail of 4.2e-6), a bucket of more than BLOCK sets as a grid
+of blocks, so none is capped. At J = 0.8 one run misses a pair with probability 0.2, 0.23 where its bucket was split
+once; RUNS runs miss it with probability 2.6e-6, 8.4e-6 after one split, to which the floor adds its 4.2e-6.
 
 A bucket tells only which sets hang together: a row for each set, not for each pair. The connected groups of all runs
 hold every pair that can reach the threshold; within them all pairs are compared exactly, on the sets of the whole texts,
@@ -35,7 +35,8 @@ RUNS, SLOTS, SMALL, CHILDREN, DEPTH, BLOCK, FLOOR = 8, 64, 1024, 2, 8, 16384, 0.
 EXACT_BLOCK, COLUMNS = 512, 8192
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-_EDGES = np.arange(SLOTS, dtype=np.uint64) << np.uint64(58)
+#: The slots' hash functions: odd multipliers of 32-bit tokens, which are hashes already.
+_SLOT = np.random.default_rng(12).integers(0, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
 
 
 class _Words(dict):
@@ -74,14 +75,10 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
 
 
 def embedding(s: np.ndarray) -> np.ndarray:
-    """SLOTS sampled tokens of a non-empty sorted set; an empty slot takes the next filled one's token, changed by the
-    distance."""
-    first = np.searchsorted(s, _EDGES)
-    end = np.append(first[1:], len(s))
-    filled = np.flatnonzero(first < end)
-    token = (s[np.minimum(first, len(s) - 1)] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    nxt = np.append(filled, filled[0] + SLOTS)[np.searchsorted(filled, np.arange(SLOTS))]
-    return (token[nxt % SLOTS] + (nxt - np.arange(SLOTS)).astype(np.uint32) * np.uint32(2654435761)).view(np.int32)
+    """SLOTS sampled tokens of a non-empty set: its least hash under each slot's function."""
+    token = s.astype(np.uint32)
+    least = [(token[at : at + 256, None] * _SLOT).min(axis=0) for at in range(0, len(token), 256)]
+    return np.minimum.reduce(least).view(np.int32)
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
