@@ -34,17 +34,23 @@ FAMILY = {
 SYLLABLES = {"latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "si", "to", "va", "we", "xi", "zo"], "cyrillic": ["ба", "ве", "ги", "до", "жа", "зе", "ки", "ло", "ма", "не", "пи", "ро", "са", "те", "фи", "хо"]}
 
 _TITLE = "(?:" + "|".join([*MALE_TITLES, *FEMALE_TITLES]) + r")\.?"
-_NAME = r"\p{Lu}[\p{L}'-]{1,30}"
+_NAME = r"\p{Lu}[\p{L}'-]+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+# Grouped numbers without a country's: 555-123-4567; 0171 1234567, (030) 1234567 of nine digits or more; 01 23 45 67 89
+_NATIONAL_PHONE = (
+    r"(?<![0-9+.-])(?:1[.-])?(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9]|[.-][0-9])"
+    r"|(?<![0-9+.-])(?=\(?(?:[0-9][)]?[ ./-]?){8}[0-9])(?:0[0-9]{2,4}[ ./-]|\(0[0-9]{1,5}\) ?)[0-9]{3,8}(?:[ .-][0-9]{2,8}){0,3}(?![0-9])"
+    r"|(?<![0-9+.-])0[0-9](?:[ .-][0-9]{2}){4}(?![0-9]|[.-][0-9])"
+)
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}",
-    "secret": r"""(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]{16})(?<=(?:token|secret|passwd|password|api_key|key)\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_-]{16,128}""",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
+    "secret": r"""(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_.~+/-]{16})(?<=(?i:token|secret|passwd|password|key)["']?\s{0,2}[=:]\s{0,2}["']?)[A-Za-z0-9_.~+/-]{15,}[A-Za-z0-9_~+/-]={0,2}""",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|" + _NATIONAL_PHONE,
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE} {_NAME}(?: {_NAME})*+",
 }
 
 def _any(*kinds: str) -> str:
@@ -59,10 +65,11 @@ ROUNDS = 24
 def may_hold(text: Column) -> Column:
     """Whether a text has what each kind of entity has: an at sign, a digit, a key word or a title. Quick to tell."""
     titles = [*MALE_TITLES, *FEMALE_TITLES]
-    marks = ["@", "token", "secret", "passw", "key", *(t for t in titles if not any(t != u and t.startswith(u) for u in titles))]
+    marks = ["@", *(t for t in titles if not any(t != u and t.startswith(u) for u in titles))]
     found = text.rlike("[0-9]")
     for mark in marks:
         found = found | text.contains(mark)
+    found = found | text.rlike("(?i:token|secret|passw|key)")
     return F.coalesce(found, F.lit(False))
 
 
@@ -114,7 +121,7 @@ def _surrogate(kind: Column, part: Column, draw: Column, hexes: Column, shaped:
     zeroed = F.concat(F.substr(drawn, F.lit(1), F.length(part) - 1), F.lit("0"))
     check = F.pmod(10 - _luhn(F.regexp_replace(zeroed, "[^0-9]", "")), F.lit(10)).cast("string")
     card = F.when(_luhn(plain) == 0, F.concat(F.substr(drawn, F.lit(1), F.length(part) - 1), check)).otherwise(drawn)
-    secret = F.when(part.rlike("^[0-9a-f]+$"), F.substr(F.repeat(hexes, 2), F.lit(1), F.length(part))).otherwise(shaped)
+    secret = F.when(part.rlike("^[0-9a-f]+$"), F.substr(F.repeat(hexes, F.ceil(F.length(part) / 128).cast("int")), F.lit(1), F.length(part))).otherwise(shaped)
     email = F.concat(F.regexp_replace(shaped, r"\.[A-Za-z]+$", ""), F.lit(".example"))
     cyrillic = part.rlike(r"\p{IsCyrillic}")
 
@@ -135,7 +142,7 @@ def _surrogate(kind: Column, part: Column, draw: Column, hexes: Column, shaped:
 
 def kind_of(entity: Column) -> Column:
     out = F.when(entity.rlike(f"^{_TITLE} "), "name")
-    for kind, shape in {"email": "@", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "national": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "card": "^[0-9]{4}(?:[ -]?[0-9]{4}){3}$|^[0-9]{13,19}$", "phone": r"^[+(]", "iban": "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?$"}.items():
+    for kind, shape in {"email": "@", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "national": "^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "card": "^[0-9]{4}(?:[ -]?[0-9]{4}){3}$|^[0-9]{13,19}$", "phone": f"^(?:{PATTERNS['phone']})$", "iban": "^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?$"}.items():
         out = out.when(entity.rlike(shape), kind)
     return out.otherwise("secret")
 

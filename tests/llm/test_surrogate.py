@@ -64,3 +64,23 @@ def test_parts(spark):
     df = spark.createDataFrame([("Mrs Ann Lee",), ("a@b.co",), ("1.2.3.4",), ("+49 30 1234567",), ("4111111111111111",)], "e string")
     kinds = [[p["kind"] for p in r[0]] for r in df.select(surrogate.parts_of(F.col("e"))).collect()]
     assert kinds == [["given_f", "family"], ["email"], ["ip"], ["phone"], ["card"]]
+
+
+def test_whole_entities(spark):
+    """Nothing of an entity stays, however long it is and whatever its form."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    texts = {
+        f"token={'Zq7' * 100}": ["Zq7" * 3], f"secret: {'0a1b' * 200} end": ["0a1b0a1b"], f"key = {jwt}. Next": jwt.split("."), "key=ab+cdEFGHIJ/KLMNOP12345==": ["ab+cd", "KLMNOP"],
+        "Password: Hunter2Hunter2Hunter2": ["Hunter2"], "API_KEY=ABCDEFGHIJKLMNOP1234": ["ABCDEFGH"], "Mrs Anna Maria Schmidt left": ["Anna", "Maria", "Schmidt"],
+        f"Mr {'Abc' * 20} left": ["Abc"], "call 555-123-4567 now": ["555-123-4567"], "ruf 0171 1234567 an": ["1234567"], "ruf (030) 1234567 an": ["1234567"], "le 01 23 45 67 89.": ["23 45 67"],
+    }
+    rows = list(enumerate(texts))
+    out = {r.doc_id: r for r in run(spark, rows)}
+    for i, t in rows:
+        assert out[i].n_entities == 1 and not [x for x in texts[t] if x in out[i].text], (t, out[i].text)
+        assert out[i].text.split(" ")[0].split("=")[0] == t.split(" ")[0].split("=")[0]
+        assert len(out[i].text) == len(t) or t.startswith("M")
+    assert out[2].text.endswith(". Next") and out[1].text.endswith(" end") and out[6].text.endswith(" left")
+    plain = [(1, "In 01-2024 and 05/2023 it rose by 0.123456789 to 1,234,567, see 10.1000/182 and ISO 2022-01-02."), (2, "The key word: none."), (3, "Mr " + "Abc " * 20_000)]
+    same = {r.doc_id: r for r in run(spark, plain)}
+    assert [same[1].n_entities, same[2].n_entities, same[3].n_entities] == [0, 0, 1] and "Abc" not in same[3].text
