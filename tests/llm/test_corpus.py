@@ -73,7 +73,7 @@ def test_jaccard_classes(spark, monkeypatch):
     got = [tuple(r) for r in chosenpath.jaccard_classes(spark, df).select("doc_id", "class_id", "n_links").collect()]
     assert sorted(got, key=key) == want
     # small blocks: splits and grids
-    for name, value in (("SMALL", 8), ("BLOCK", 16), ("EXACT_BLOCK", 16)):
+    for name, value in (("SMALL", 8), ("BLOCK", 6), ("WEIGHT", 3000)):
         monkeypatch.setattr(chosenpath, name, value)
     got = [tuple(r) for r in chosenpath.jaccard_classes(spark, df).select("doc_id", "class_id", "n_links").collect()]
     assert sorted(got, key=key) == want
@@ -92,6 +92,40 @@ def test_short_near_pairs(spark):
     assert sum(n for _, _, n in want) == len(rows) and sorted(got) == want
 
 
+def test_recall_by_length(spark):
+    """Links at 0.80 to 0.85, of texts of all lengths: 0.99 of each kind at least, and no false one."""
+    rng = random.Random(19)
+    texts, kinds = [], []
+    for low, high, kind in ((8, 10, "short"), (11, 30, "middle"), (100, 160, "long")):
+        while kinds.count(kind) < 600:
+            base = prose(rng, rng.randint(low, high), 10**7)
+            other = base[: len(base) - rng.randint(0, 1 + len(base) // 8)] if rng.random() < 0.5 else altered(rng, base, 1 + len(base) // 100)
+            a, b = shingles(" ".join(base)), shingles(" ".join(other))
+            if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+                texts += [" ".join(base), " ".join(other)]
+                kinds.append(kind)
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosenpath.jaccard_classes(spark, df).collect()}
+    for kind in ("short", "middle", "long"):
+        pairs = [i for i, k in enumerate(kinds) if k == kind]
+        assert sum(got[2 * i] == got[2 * i + 1] == (2 * i, 1) for i in pairs) >= 0.99 * len(pairs), kind
+    assert all(c in (i, i - i % 2) for i, (c, _) in got.items())
+
+
+def test_runs_reach_the_target_recall():
+    assert chosenpath.runs_for(0.99999) == 8 and chosenpath.runs_for(0.9) < chosenpath.runs_for(0.99) < chosenpath.runs_for(0.99999, depth=4)
+    rng = np.random.default_rng(1)
+    for target in (0.9, 0.99):
+        for depth in (0, 2, 5):
+            runs = chosenpath.runs_for(target, depth=depth)
+
+            def stays(d):
+                return d == 0 or any(rng.random() < 0.8 and stays(d - 1) for _ in range(chosenpath.CHILDREN))
+
+            missed = sum(not any(rng.random() < 0.8 and stays(depth) for _ in range(runs)) for _ in range(4000)) / 4000
+            assert missed <= (1 - target) / 2 + 0.01
+
+
 def test_slots_agree_independently():
     """As many slots agree as of independent ones, at every size: no pair at 0.8 in 2,000 is under the floor."""
     rng = np.random.default_rng(4)
@@ -101,7 +135,7 @@ def test_slots_agree_independently():
         for _ in range(2000):
             x = rng.integers(0, 2**64, n + m - common, dtype=np.uint64)
             agree.append((chosenpath.embedding(np.sort(x[:n])) == chosenpath.embedding(np.sort(x[n - common :]))).mean())
-        assert min(agree) >= chosenpath.FLOOR and abs(np.mean(agree) - 0.8) < 0.01 and np.std(agree) < 0.055
+        assert min(agree) * chosenpath.SLOTS >= chosenpath.floor_for(chosenpath.TARGET_RECALL) and abs(np.mean(agree) - 0.8) < 0.01 and np.std(agree) < 0.055
 
 
 def test_one_of_each(spark):
