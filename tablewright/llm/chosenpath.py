@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, score_texts, sorted_groups, text_key
+from .common import discard, materialise, own_prefix, score_texts, sorted_groups, text_key
 
 WIDTH, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.99999
 SLOTS, SMALL, CHILDREN, DEPTH = 64, 1024, 2, 8
@@ -336,11 +336,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, width: int = WIDTH, thresh
     """docs with one row of each class: the least (doc_id, content key), and of rows equal in both one. Null texts and
     texts without words all stay; an empty table stays empty; all columns pass through."""
     classes = jaccard_classes(spark, docs, width, threshold, target_recall)
+    own = own_prefix(docs)
+    t1, t2, worded = f"{own}t1", f"{own}t2", f"{own}worded"
     heads = classes.where("keeper").select("doc_id", "tk1", "tk2").distinct().alias("h")
-    words = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
     k1, k2 = text_key(F.col("text"))
-    keyed = docs.withColumns({"__tk1": k1, "__tk2": k2, "__words": words}).alias("d")
-    on = (F.col("__tk1") == F.col("h.tk1")) & (F.col("__tk2") == F.col("h.tk2")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))
+    keyed = docs.withColumns({t1: k1, t2: k2, worded: F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))}).alias("d")
+    on = (F.col(t1) == F.col("h.tk1")) & (F.col(t2) == F.col("h.tk2")) & F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))
     kept = keyed.join(heads, on, "left_semi")
-    single = kept.where("__words").dropDuplicates(["doc_id", "__tk1", "__tk2"])
-    return single.unionByName(kept.where(~F.col("__words"))).drop("__tk1", "__tk2", "__words")
+    single = kept.where(worded).dropDuplicates(["doc_id", t1, t2])
+    return single.unionByName(kept.where(~F.col(worded))).drop(t1, t2, worded)

@@ -35,16 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def materialise(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def materialise(spark: SparkSession, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: later steps start from files, not from lineage.
 
-    The files go when the scratch scope ends in which they were written, or else when the driver's JVM does.
+    The files go when the scratch scope ends in which they were written, or else, and with keep, when the driver's JVM
+    does.
     """
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    if _scopes:
+    if _scopes and not keep:
         _scopes[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -70,6 +71,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def own_prefix(docs: DataFrame) -> str:
+    """Underscores with which no column of docs begins: for helper columns beside those of the caller."""
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    return mark
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

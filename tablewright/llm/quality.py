@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, score_texts
+from .common import bounded_sample, own_prefix, score_texts
 
 HASHED, SHAPED, BINS = 2048, 4096, 16
 WIDTH = HASHED + SHAPED + 2 * BINS
@@ -106,8 +106,9 @@ def train(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, rate:
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """doc_id, grade from labels (doc_id, quality, toxic): 0 low quality, 1 good but toxic, 2 good. Rows without a
-    quality or an id are left out; of rows that repeat an id the lowest grade counts."""
+    """doc_id, grade from labels (doc_id, quality, toxic): 0 low quality, 1 good but toxic, 2 good. The table has no grades
+    of its own; this order is a choice that its two marks allow, and fit() takes any other. Rows without a quality or an id
+    are left out; of rows that repeat an id the lowest grade counts."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     return labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
@@ -130,19 +131,23 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = M
 
 
 def keep_selected(docs: DataFrame, model: OrdinalModel, select_grade: int = SELECT_GRADE, select_at: float = SELECT_AT) -> DataFrame:
-    """The selected rows of docs, columns as they are."""
+    """The selected rows of docs, columns as they are. Null and empty texts are rated by their length alone; repeated rows
+    go or stay alike; very long texts are rated whole; an empty table stays empty."""
+
+    selected = own_prefix(docs) + "selected"
 
     def run(texts: list) -> dict:
         got = [model.tails(np.stack([features(t) for t in texts[a : a + 256]]))[:, select_grade - 1] for a in range(0, len(texts), 256)]
-        return {"__selected": np.concatenate(got) >= select_at if got else np.zeros(0, bool)}
+        return {selected: np.concatenate(got) >= select_at if got else np.zeros(0, bool)}
 
-    return score_texts(docs, run, "__selected boolean").where("__selected").drop("__selected")
+    return score_texts(docs, run, f"{selected} boolean").where(selected).drop(selected)
 
 
 def rate(docs: DataFrame, model: OrdinalModel, select_grade: int = SELECT_GRADE, select_at: float = SELECT_AT, keep_text: bool = True) -> DataFrame:
     """docs (text and more) with expected_grade, tail (P(grade >= select_grade)) and selected.
 
-    Null and empty texts are rated by their length alone; repeated rows alike. Columns of these names are replaced.
+    Null and empty texts are rated by their length alone; repeated rows alike. A very long text is rated whole, in memory
+    proportional to it. An empty table gives no rows. Columns of these names are replaced.
     """
 
     def run(texts: list) -> dict:
