@@ -6,8 +6,10 @@ before it, or insert empty messages in front of it; empty messages may also clos
 is rendered turn by turn, so that a conversation's pieces in order are its whole text.
 
 A turn's effect on the automaton's four states is a (min, +) matrix, and such matrices multiply. A conversation is cut into
-chunks of CHUNK turn numbers; for conversations of several chunks each chunk's matrix is made first, the states between
-the chunks follow from these, and then every chunk is repaired by itself. No task holds more than chunks.
+chunks of CHUNK turn numbers, and where turns repeat, so that a chunk holds more messages than that, again by turn, role
+and ranges of the text's hash, which is the order of messages. For conversations of several chunks each chunk's matrix is
+made first, the states between the chunks follow from these, and then every chunk is repaired by itself. No task holds
+more than a chunk's messages, or a small matrix for each chunk of a conversation.
 """
 
 from __future__ import annotations
@@ -122,16 +124,23 @@ def render(text: str | None, before: int, after: int, action: str, inserted: tup
     return piece + (_END + "".join(_open(s) + _END for s in close(after)) if last else "")
 
 
-def _keyed(chats: DataFrame) -> DataFrame:
-    turn = F.col("turn")
-    chunk = F.coalesce(F.floor(turn / CHUNK), F.lit(2**62))
-    spread = F.when(turn.isNull(), F.shiftrightunsigned(F.xxhash64("role", "text"), 54)).otherwise(F.lit(0).cast("long"))
-    rows = chats.select("conv_id", "turn", "role", "text").dropDuplicates()
-    keyed = rows.withColumns({"ck": F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")), "tc": chunk, "hc": spread, "th": F.xxhash64("text")})
-    return keyed.withColumn("chunk", F.concat_ws("|", "ck", "tc", "hc"))
+def _keyed(spark: SparkSession, chats: DataFrame) -> DataFrame:
+    turn, role = F.col("turn"), F.col("role")
+    rows = chats.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n_copies"))
+    rows = rows.withColumns({"ck": F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")), "tc": F.coalesce(F.floor(turn / CHUNK), F.lit(2**62)), "th": F.xxhash64("text")})
+    crowded = materialise(spark, rows.groupBy("ck", "tc").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK), "chat-crowded")
+    keyed = rows.join(crowded, ["ck", "tc"], "left")
+    # pieces of half a chunk on average, so that hardly one is larger than a chunk
+    shift = F.greatest(F.lit(1), 63 - F.ceil(F.log2(F.col("m") / CHUNK))).cast("int")
+    split = F.col("m").isNotNull()
+    keyed = keyed.withColumns({"st": F.when(split, turn), "sr": F.when(split, role), "sh": F.when(split, F.call_function("shiftright", F.col("th"), shift))}).drop("m")
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    return keyed.withColumn("chunk", F.concat_ws("|", "tc", name("sh"), name("st"), "ck", name("sr")))
 
 
 _ORDER = ("chunk", "turn", "role", "th")
+#: The order of a conversation's chunks.
+_PLACE = ("ck", "tc", "st", "sr", "sh")
 
 
 def _by_chunk(rows: DataFrame) -> DataFrame:
@@ -140,9 +149,11 @@ def _by_chunk(rows: DataFrame) -> DataFrame:
 
 def _states(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     """chunk, start, end, last for the chunks of conversations that have more than one."""
-    chunks = keyed.select("ck", "tc", "hc", "chunk").distinct()
+    chunks = keyed.select(*_PLACE, "chunk").distinct()
     several = chunks.groupBy("ck").agg(F.count("*").alias("n")).where("n > 1").select("ck")
-    rows = keyed.join(several, "ck", "left_semi").select("ck", "tc", "hc", "chunk", "turn", "role", "th")
+    rows = keyed.join(several, "ck", "left_semi").select(*_PLACE, "chunk", "turn", "role", "th")
+    kinds = {f.name: f.dataType for f in keyed.schema.fields}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in (*_PLACE, "chunk")] + T.StructType.fromDDL("m array<bigint>").fields)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "chunk"):
@@ -150,7 +161,7 @@ def _states(spark: SparkSession, keyed: DataFrame) -> DataFrame:
             for r in group.column("role").to_pylist():
                 m = times(m, matrix(role_id(r)))
             first = group.slice(0, 1)
-            yield pa.RecordBatch.from_arrays([*(first.column(c).combine_chunks() for c in ("ck", "tc", "hc", "chunk")), pa.array([m.ravel().tolist()], pa.list_(pa.int64()))], names=["ck", "tc", "hc", "chunk", "m"])
+            yield pa.RecordBatch.from_arrays([*(first.column(c).combine_chunks() for c in (*_PLACE, "chunk")), pa.array([m.ravel().tolist()], pa.list_(pa.int64()))], names=schema.names)
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "ck"):
@@ -168,24 +179,26 @@ def _states(spark: SparkSession, keyed: DataFrame) -> DataFrame:
             last = [i == 0 for i in range(len(ends))][::-1]
             yield pa.RecordBatch.from_arrays([group.column("chunk").combine_chunks(), pa.array(starts[::-1], pa.int32()), pa.array(ends[::-1], pa.int32()), pa.array(last)], names=["chunk", "start", "end", "last"])
 
-    made = _by_chunk(rows).mapInArrow(matrices, "ck string, tc long, hc long, chunk string, m array<bigint>")
-    ordered = made.repartition("ck").sortWithinPartitions("ck", "tc", "hc")
+    made = _by_chunk(rows).mapInArrow(matrices, schema)
+    ordered = made.repartition("ck").sortWithinPartitions(*_PLACE)
     return materialise(spark, ordered.mapInArrow(between, "chunk string, start int, end int, last boolean"), "chat-states")
 
 
 def format_chats(spark: SparkSession, chats: DataFrame) -> DataFrame:
-    """conv_id, turn, role, role_out, action, n_inserted, piece for each message of chats (conv_id, turn, role, text).
+    """conv_id, turn, role, role_out, action, n_inserted, n_copies, piece for each message of chats (conv_id, turn, role,
+    text).
 
     action: keep, relabel, merge or merge_relabel; n_inserted: empty messages in front of the turn, and after a
     conversation's last turn those that close it; piece: the turn's part of the rendering. Rows equal in all four columns
-    are one message. Messages go by turn, then role, then a hash of the text; a null turn goes last, by hash. A null
-    conv_id is an id like any other; roles other than system, user and assistant, and null, are unknown and get the
-    cheapest role; null texts are empty. An empty table has no rows.
+    are one message, n_copies tells how many they are. Messages go by turn, then role, then a hash of the text; a null
+    turn goes last. A null conv_id is an id like any other; roles other than system, user and assistant, and null, are
+    unknown and get the cheapest role; null texts are empty; very long texts are rendered whole. An empty table has no
+    rows. Other columns of chats are not read, so their names cannot clash.
     """
-    keyed = _keyed(chats)
-    rows = keyed.join(_states(spark, keyed), "chunk", "left").select("chunk", "conv_id", "turn", "role", "text", "th", F.coalesce("start", F.lit(BEGIN)).alias("start"), "end", F.coalesce("last", F.lit(True)).alias("last"))
+    keyed = _keyed(spark, chats)
+    rows = keyed.join(_states(spark, keyed), "chunk", "left").select("chunk", "conv_id", "turn", "role", "text", "n_copies", "th", F.coalesce("start", F.lit(BEGIN)).alias("start"), "end", F.coalesce("last", F.lit(True)).alias("last"))
     kinds = {f.name: f.dataType for f in chats.schema.fields}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in ("conv_id", "turn", "role")] + T.StructType.fromDDL("role_out string, action string, n_inserted int, piece string").fields)
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in ("conv_id", "turn", "role")] + T.StructType.fromDDL("role_out string, action string, n_inserted int, n_copies bigint, piece string").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, "chunk"):
@@ -201,6 +214,6 @@ def format_chats(spark: SparkSession, chats: DataFrame) -> DataFrame:
                 n.append(len(inserted) + (len(close(after)) if ends else 0))
                 piece.append(render(text, before, after, act, inserted, ends))
                 before = after
-            yield from pa.Table.from_arrays([*(group.column(c) for c in ("conv_id", "turn", "role")), pa.array(role_out), pa.array(action), pa.array(n, pa.int32()), pa.array(piece)], names=schema.names).to_batches()
+            yield from pa.Table.from_arrays([*(group.column(c) for c in ("conv_id", "turn", "role")), pa.array(role_out), pa.array(action), pa.array(n, pa.int32()), group.column("n_copies"), pa.array(piece)], names=schema.names).to_batches()
 
     return _by_chunk(rows).mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def test_format_chats(spark):
     assert whole[1] == "<|im_start|>user\na\n\nb<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n"
     assert whole[2] == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nx<| im_end|><|im_end|>\n"
     assert whole[None] == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\nr<|im_end|>\n"
-    assert all(map(legal, whole.values())) and len(got[1]) == 3
+    assert all(map(legal, whole.values())) and len(got[1]) == 3 and [r.n_copies for r in sorted(got[1], key=lambda r: r.turn)] == [1, 2, 1]
     assert pieces(spark, [(1, 0, "user", "a")])[1][0].n_inserted == 1
     assert chat.format_chats(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -113,3 +114,18 @@ def test_long_conversation_in_chunks(spark):
     roles = [chat.role_id(r.role) for r in got]
     cost = sum(chat.INSERT * r.n_inserted + (chat.MERGE if "merge" in r.action else 0) + (0 if "relabel" not in r.action else chat.RELABEL if i else chat.RELABEL_UNKNOWN) for r, i in zip(got, roles, strict=True))
     assert cost == cost_of(roles, chat.repair(roles)) and legal("".join(r.piece for r in got))
+
+
+def test_many_messages_at_one_turn(spark):
+    """They are cut into pieces, in the order of messages, and repaired at least cost; so are those without a turn."""
+    rng = random.Random(6)
+    rows = [(None, 0, rng.choice(["user", "assistant", "tool", None]), f"m{i}") for i in range(9000)] + [(None, 5, "user", f"n{i}") for i in range(700)] + [(None, None, "user", f"o{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    keyed = chat._keyed(spark, df)
+    sizes = [r["count"] for r in keyed.groupBy("chunk").count().collect()]
+    assert max(sizes) <= 2 * chat.CHUNK and len(sizes) < 500
+    th = {r.text: r.th for r in df.select("text", F.xxhash64("text").alias("th")).collect()}
+    got = sorted(chat.format_chats(spark, df).collect(), key=lambda r: (r.turn is None, r.turn or 0, r.role is not None, r.role or "", th[re.search(r"[mno]\d+", r.piece)[0]]))
+    roles = [chat.role_id(r.role) for r in got]
+    cost = sum(chat.INSERT * r.n_inserted + (chat.MERGE if "merge" in r.action else 0) + (0 if "relabel" not in r.action else chat.RELABEL if i else chat.RELABEL_UNKNOWN) for r, i in zip(got, roles, strict=True))
+    assert len(got) == len(rows) and cost == cost_of(roles, chat.repair(roles)) and legal("".join(r.piece for r in got))
