@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy, and odd rows."""
 
 import random
+import warnings
 
 import numpy as np
 import pytest
@@ -145,12 +146,48 @@ def test_rates_are_the_projected_gradient(spark, docs):
     domains, model = mixing.fit_domains(spark, docs, labelled)
     rows = mixing.posteriors(docs, domains, model).collect()
     p, n = np.array([r.p for r in rows]), np.array([r.n_tokens for r in rows], float)
-    share = (p * n[:, None]).sum(axis=0) / n.sum()
     want, r = np.array([targets[d] for d in domains]), np.ones(len(n))
+    gram = (p * n[:, None]).T @ p / n.sum()
+    weight = np.linalg.inv(gram + mixing.RIDGE * np.trace(gram) / len(domains) * np.eye(len(domains)))
     for _ in range(mixing.ROUNDS):
-        now = (p * (r * n)[:, None]).sum(axis=0) / n.sum()
-        if abs(now - want).max() <= mixing.CLOSE:
+        miss = (p * (r * n)[:, None]).sum(axis=0) / n.sum() - want
+        if abs(miss).max() <= mixing.CLOSE:
             break
-        r = np.maximum(0, r - p @ ((now - want) / share))
-    got = {(x.doc_id, x.tk1): x.mix_rate for x in mixing.mix_rates(spark, docs, labelled, targets).collect()}
-    assert all(abs(got[x.doc_id, x.tk1] - y) < 1e-6 for x, y in zip(rows, r, strict=True))
+        r = np.maximum(0, r - p @ (weight @ miss))
+    got = {(x.doc_id, x.tk1): x for x in mixing.mix_rates(spark, docs, labelled, targets).collect()}
+    assert all(abs(got[x.doc_id, x.tk1].mix_rate - y) < 1e-6 and got[x.doc_id, x.tk1].miss <= mixing.CLOSE for x, y in zip(rows, r, strict=True))
+
+
+def test_posteriors_are_naive_bayes(spark, docs):
+    """Model and posteriors against the same in numpy, from the hashed words."""
+    labelled = docs.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("domain"))
+    domains, model = mixing.fit_domains(spark, docs, labelled)
+    bucket = F.transform(mixing.words(F.coalesce("text", F.lit(""))), lambda w: F.pmod(F.xxhash64(w), F.lit(mixing.BUCKETS)).cast("int"))
+    rows = docs.select("doc_id", "lang", "text", bucket.alias("b")).collect()
+    counts = np.zeros((len(domains), mixing.BUCKETS))
+    for r in rows:
+        if r.doc_id is not None and r.doc_id % 2 == 0 and r.lang:
+            np.add.at(counts[domains.index(r.lang)], r.b, 1)
+    lp = np.log((counts + mixing.SMOOTH) / (counts.sum(axis=1, keepdims=True) + mixing.SMOOTH * mixing.BUCKETS))
+    assert np.allclose(np.array([r.lp for r in model.orderBy("bucket").collect()]).T, lp)
+    want = []
+    for r in rows:
+        s = lp[:, r.b].sum(axis=1) * min(1, mixing.TEMPER / max(1, len(r.b)))
+        e = np.exp(s - s.max())
+        want.append((len(r.b), *(e / e.sum()).round(9)))
+    assert sorted(want) == sorted((x.n_tokens, *np.round(x.p, 9)) for x in mixing.posteriors(docs, domains, model).collect())
+
+
+def test_overlapping_posteriors_reach_the_targets(spark):
+    rng = np.random.default_rng(5)
+    p = 0.5 + rng.uniform(-0.03, 0.03, 3000)
+    rows = spark.createDataFrame([(i, int(n), [float(x), float(1 - x)]) for i, (x, n) in enumerate(zip(p, rng.integers(1, 50, 3000), strict=True))], "doc_id long, n_tokens long, p array<double>")
+    for goal, tolerance in ((0.51, 1e-4), (0.9, None)):
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            got, left = mixing.fit_rates(spark, rows, ["a", "b"], {"a": goal, "b": 1 - goal})
+        rates = got.select("rate", "n_tokens", "p").collect()
+        total = sum(r.n_tokens for r in rates)
+        mass = [sum(r.rate * r.n_tokens * r.p[k] for r in rates) / total for k in (0, 1)]
+        assert all(r.rate >= 0 for r in rates) and abs(max(abs(mass[0] - goal), abs(mass[1] - 1 + goal)) - left) < 1e-9
+        assert left <= tolerance if tolerance else left > 0.1 and said
