@@ -12,14 +12,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, score_texts
+from .common import score_texts
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
-#: The most documents, windows of one document, and characters of a window that training reads.
-MAX_DOCS, DOC_WINDOWS, WINDOW_CHARS = 3000, 3, 200
+#: The most documents, windows of one document, characters of a window, and languages that training reads.
+MAX_DOCS, DOC_WINDOWS, WINDOW_CHARS, MAX_LANGS = 3000, 3, 200, 500
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CHUNK = 1024
@@ -97,24 +97,22 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int
     return net
 
 
-def fit(docs: DataFrame, learn: Column, max_docs: int = MAX_DOCS) -> ByteCNN | None:
+def fit(docs: DataFrame, learn: Column, max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> ByteCNN | None:
     """Learn from the rows of docs (doc_id, text, lang) where learn holds and text and lang are not null.
 
     For each language the documents of the smallest id hash, max_docs in all, and DOC_WINDOWS windows of each, chosen by
-    hash: a bounded sample. None if no row can be learned from.
+    hash: a bounded sample, taken by three passes whatever the number of languages. If there are more languages than
+    max_langs the most frequent are learned, of equally frequent ones the first by name. Of rows that repeat an id and a
+    language the least text counts. None if no row can be learned from.
     """
     rows = docs.where(learn & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    langs = sorted(r[0] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect())
     if not langs:
         return None
-    picked = []
-    for lang in langs:
-        ids = bounded_sample(rows.where(F.col("lang") == lang).select("doc_id").distinct(), F.col("doc_id"), max(1, max_docs // len(langs)))
-        of = rows.where(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        picked.append(of.select(F.lit(lang).alias("lang"), "doc_id", "text"))
-    every = picked[0]
-    for more in picked[1:]:
-        every = every.union(more)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.where(F.col("lang").isin(langs)).select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order))
+    ids = ids.where(F.col("place") <= max(1, max_docs // len(langs))).select("lang", "doc_id")
+    every = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     parts = F.transform(
         F.sequence(F.lit(0), F.lit(DOC_WINDOWS - 1)),
         lambda j: F.substr("text", F.pmod(F.xxhash64(F.col("doc_id"), j), F.ceil(F.length("text") / WINDOW_CHARS)).cast("int") * WINDOW_CHARS + 1, F.lit(WINDOW_CHARS)),
@@ -130,7 +128,8 @@ def identify(docs: DataFrame, net: ByteCNN | None, keep_text: bool = True) -> Da
     """docs (doc_id, text and more) with lang_pred and score (the predicted language's probability, 0 to 1).
 
     `und` with score 0 if text is null or has no letter, and everywhere if there was nothing to learn from. Columns of
-    these names are replaced. Repeated rows are predicted alike.
+    these names are replaced. Repeated rows are predicted alike; of equally likely languages the first by name is
+    predicted; a very long text is read window by window; an empty table gives no rows.
     """
 
     def run(texts: list) -> dict:

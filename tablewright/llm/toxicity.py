@@ -125,18 +125,19 @@ def _sample(base: DataFrame, ids: DataFrame, kind: int) -> DataFrame:
     return rows.mapInPandas(keyed, "kind int, doc_id string, keys array<string>, text string")
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> WordModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, prior: float | None = None) -> WordModel:
     """Learn from docs (doc_id, text) where learn (a condition on doc_id) holds, with labels (doc_id, toxic).
 
-    Positives: rows labelled 1. Unlabelled: all rows of non-null text, without regard to labels. The class prior is the
-    share of 1 among the labelled rows that may be learned from. Both samples are bounded (MAX_POSITIVE, MAX_UNLABELLED),
+    Positives: rows labelled 1. Unlabelled: all rows of non-null text, without regard to labels. prior, the share of toxic
+    rows among all, is by default the share of 1 among the labelled rows that may be learned from, which is right only if
+    those are a random sample; where toxic rows were labelled by preference, pass the share. Both samples are bounded (MAX_POSITIVE, MAX_UNLABELLED),
     by id hash; of rows that repeat an id one counts, and of near copies. The words are counted by Spark; the driver gets
     those of the model and, for each row of the samples, which of them it holds. No positive row: every score is a small
     constant.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, ones = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
-    prior = min(0.9, max(0.01, ones / n if n else 0.01))
+    prior = min(0.9, max(0.01, prior if prior is not None else ones / n if n else 0.01))
     key = F.col("doc_id")
     base = docs.where(F.col("text").isNotNull() & key.isNotNull() & learn).select("doc_id", "text")
     positive = bounded_sample(known.where(F.col("toxic") == 1).select("doc_id"), key, MAX_POSITIVE)
@@ -177,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> WordModel:
 def score(docs: DataFrame, model: WordModel, threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """docs (doc_id, text and more) with score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
-    Null and empty texts get the score of a text without words. Columns of these names are replaced.
+    Null and empty texts get the score of a text without words. Repeated rows are scored alike. A very long text is scored
+    whole, by the set of its words. An empty table gives no rows. Columns of these names are replaced.
     """
 
     def run(texts: list) -> dict:
