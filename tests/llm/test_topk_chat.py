@@ -9,15 +9,11 @@ from tablewright.llm import chat, topk
 
 
 def brute_top(rows, k):
-    vecs = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or x != x or abs(x) == float("inf") for x in v):
-            continue
-        q = [int(np.floor(64 * x)) for x in v]
-        vecs[i] = min(vecs.get(i, q), q)
+    most = topk._MOST
+    vecs = [(i, [max(-most, min(most, int(np.floor(64 * x)))) for x in v]) for i, v in rows if i is not None and v and not any(x is None or x != x or abs(x) == float("inf") for x in v)]
     out = []
-    for i in (i for i in vecs if i % 20 == 0):
-        best = sorted((-sum(a * b for a, b in zip(vecs[i], v, strict=True)), j) for j, v in vecs.items() if j != i and len(v) == len(vecs[i]))[:k]
+    for i in {i for i, _ in vecs if i % 20 == 0}:
+        best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(q, v, strict=True)))), j) for h, q in vecs if h == i for j, v in vecs if j != i and len(v) == len(q))[:k]
         out += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
     return sorted(out)
 
@@ -25,21 +21,50 @@ def brute_top(rows, k):
 def test_topk_is_exact(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(700)]
-    rows += [(700, None), (701, []), (702, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (703, [float("nan")] * 6), (704, [float("inf")] * 6), (None, [1.0] * 6), (720, [1.0, 2.0]), (721, [3.0, 1.0]), rows[5], rows[20], (20, [9.0] * 6)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
+    rows += [(700, None), (701, []), (702, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (703, [float("nan")] * 6), (704, [float("inf")] * 6), (None, [1.0] * 6), (720, [1.0, 2.0]), (721, [3.0, 1.0]), rows[5], rows[20], (20, [9.0] * 6), (5, [8.0] * 6), (740, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"rank": F.lit("x"), "rid": F.lit("clash")})
     for blocks in ((1024, 8192), (7, 50)):
         got = topk.exact_top_k(spark, df, F.col("vec_id") % 20 == 0, 20, *blocks)
         assert sorted(map(tuple, got.collect())) == brute_top(rows, 20)
     assert topk.exact_top_k(spark, df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_topk_of_large_numbers(spark):
+    """Sums beyond 2^24, 2^53 and the range of long."""
+    rng = np.random.default_rng(3)
+    for scale in (1e3, 1e7, 1e9, 1e18):
+        rows = [(i, [float(x) for x in rng.normal(size=5) * scale]) for i in range(150)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = topk.exact_top_k(spark, df, F.col("vec_id") % 20 == 0, 20, 4, 40)
+        assert sorted(map(tuple, got.collect())) == brute_top(rows, 20), scale
+
+
+def test_how_deep_lists_are_read(spark):
+    """Where some vectors stand out, the floor of the first chunk spares most of the others."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(4000, 8))
+    v[rng.permutation(4000)[:400]] *= 30
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    shares = {}
+    for blocks in ((2048, 8192), (2048, 500)):
+        got = topk.exact_top_k(spark, df, F.col("vec_id") % 20 == 0, 20, *blocks, with_read_share=True)
+        few = {r.query_id: r.read_share for r in got.collect()}
+        shares[blocks] = np.mean(list(few.values()))
+        assert len(few) == 200 and max(few.values()) <= 1
+    assert shares[2048, 500] < 0.5 and shares[2048, 500] < shares[2048, 8192] < 0.9, shares
+
+
 def test_nra_stops_early_and_keeps_the_best():
     rng = np.random.default_rng(2)
     v = rng.integers(-3, 3, (400, 4)).astype(np.float32)
     v[:30] += 60
     q = np.ones((3, 4), np.float32)
-    live = topk.nra_block(q, v, np.zeros((3, 400), bool), np.full(3, -np.inf), 20)
-    assert live.sum(axis=1).max() < 400 and all(set(np.argsort(-(v @ q[i]), kind="stable")[:20]) <= set(np.flatnonzero(live[i])) or (v[live[i]] @ q[i]).min() >= np.sort(v @ q[i])[-20] for i in range(3))
+    live, depth = topk.nra_block(q, v, np.zeros((3, 400), bool), np.full(3, -np.inf), 20)
+    assert (depth < 200).all() and live.sum(axis=1).max() < 40
+    assert all((v[live[i]] @ q[i]).min() <= np.sort(v @ q[i])[-20] and live[i, np.argsort(-(v @ q[i]), kind="stable")[:20]].all() for i in range(3))
+    live, depth = topk.nra_block(q, v, np.zeros((3, 400), bool), np.array([1e6, -np.inf, 1e6]), 20)
+    assert list(depth > 0) == [False, True, False] and not live[[0, 2]].any()
 
 
 def least_cost(roles):
