@@ -226,7 +226,7 @@ w AS (SELECT r, unnest(x) AS w, generate_subscripts(x, 1) AS p FROM x),
 g AS (SELECT r, w AS s1, w || ' ' || lead(w) OVER k AS s2, s2 || ' ' || lead(w, 2) OVER k AS s3, s3 || ' ' || lead(w, 3) OVER k AS s4, s4 || ' ' || lead(w, 4) OVER k AS s5 FROM w WINDOW k AS (PARTITION BY r ORDER BY p)),
 q AS (SELECT r, len(x) AS k, array_to_string(x, ' ') AS s FROM x WHERE item AND len(x) BETWEEN 1 AND 4),
 u AS (SELECT r, 5 AS k, s5 AS s FROM g WHERE s5 IS NOT NULL
-  UNION SELECT r, k, CASE k WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE s4 END AS s FROM g JOIN (SELECT DISTINCT k FROM q) ON s IS NOT NULL WHERE r NOT IN (SELECT r FROM x WHERE item)),
+  UNION SELECT r, k, s FROM (SELECT r, c.k, CASE c.k WHEN 1 THEN s1 WHEN 2 THEN s2 WHEN 3 THEN s3 ELSE s4 END AS s FROM g, (SELECT DISTINCT k FROM q) c) WHERE s IS NOT NULL AND r NOT IN (SELECT r FROM x WHERE item)),
 i AS (SELECT u.r, k, s FROM u JOIN x USING (r) WHERE item UNION SELECT r, k, s FROM q),
 n AS (SELECT r, count(*) AS n_item FROM i GROUP BY r),
 f AS (SELECT u.r AS d, i.r AS i, count(*) AS n_found FROM u JOIN x ON u.r = x.r AND NOT item JOIN i ON u.k = i.k AND u.s = i.s GROUP BY ALL),
