@@ -20,7 +20,8 @@ def promote_header(raw: DataFrame) -> DataFrame:
 
 
 def drop_empty(cells: DataFrame) -> DataFrame:
-    """cells without all-null rows, then without all-null columns; numbers keep their gaps, '' isn't null.
+    """cells without all-null rows, then without all-null columns; numbers keep their gaps, '' isn't null. So a table
+    without any value is gone.
 
     One exchange by table serves both windows.
     """
@@ -35,8 +36,3 @@ def clean_cells(cells: DataFrame) -> DataFrame:
     rows = cells.groupBy(*TABLE_KEY, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "col_name", "value"))).alias("c"))
     out = rows.withColumn("v", clean_row(F.col("c.value"))).select(*TABLE_KEY, "row_no", F.posexplode(F.arrays_zip("c", "v")).alias("i", "x"))
     return out.select(*TABLE_KEY, "row_no", "x.c.col_no", "x.c.col_name", F.col("x.v").alias("value"))
-
-
-def nonempty_tables(cells: DataFrame) -> DataFrame:
-    """Keys of the tables that have a cell left."""
-    return cells.select(*TABLE_KEY).distinct()

@@ -16,24 +16,20 @@ GARBLED_ROWS, GARBLED_CELLS = 20, 100
 def table_quality(cells: DataFrame) -> DataFrame:
     """One row for each table: n_rows, n_cols, the shares behind the rules, a flag for each rule and their number.
 
-    cells holds each table in full, null cells included. A single exchange by table carries all groupings.
+    cells holds each table in full, null cells included. No table is brought together in a task: its cells meet by row,
+    its rows are counted by what they hold before the counts meet, and of its texts only those of the first rows move.
     """
-    rows = cells.repartition(*TABLE_KEY).groupBy(*TABLE_KEY, "row_no").agg(
-        F.count("*").alias("width"), F.count("value").alias("filled"),
-        F.transform(F.array_sort(F.collect_list(F.struct("col_no", F.coalesce("value", F.lit("None")).alias("v")))), lambda c: c["v"]).alias("vals"),
-        F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("col_no", "row_no", "value")))).alias("given"),
-    )
-    place = Window.partitionBy(*TABLE_KEY).orderBy("row_no")
-    rows = rows.withColumns({
-        "alike": F.count("*").over(Window.partitionBy(*TABLE_KEY, "filled")),
-        "place": F.row_number().over(place),
-        "print": F.xxhash64(F.to_json("vals")),
-    })
-    first = F.when(F.col("place") <= GARBLED_ROWS, F.col("given"))
-    t = rows.groupBy(*TABLE_KEY).agg(
-        F.count("*").alias("n_rows"), F.max("width").cast("long").alias("n_cols"), F.sum("width").alias("n_cells"), F.sum("filled").alias("n_filled"),
-        F.max("alike").alias("n_mode"), F.countDistinct("print").alias("n_distinct"), F.array_sort(F.flatten(F.collect_list(first))).alias("sample"),
+    value = F.coalesce("value", F.lit("None"))
+    rows = cells.groupBy(*TABLE_KEY, "row_no").agg(F.count("*").alias("width"), F.count("value").alias("filled"), F.array_sort(F.collect_list(F.struct("col_no", F.xxhash64(value).alias("v")))).alias("vals"))
+    alike = rows.groupBy(*TABLE_KEY, "filled", F.xxhash64(F.transform("vals", lambda c: c["v"])).alias("print")).agg(F.count("*").alias("n"), F.max("width").alias("widest"), F.sum("width").alias("cells"))
+    t = alike.groupBy(*TABLE_KEY).agg(
+        F.sum("n").alias("n_rows"), F.max("widest").alias("n_cols"), F.sum("cells").alias("n_cells"), F.sum(F.col("n") * F.col("filled")).alias("n_filled"), F.countDistinct("print").alias("n_distinct"),
     )
+    mode = alike.groupBy(*TABLE_KEY, "filled").agg(F.sum("n").alias("n")).groupBy(*TABLE_KEY).agg(F.max("n").alias("n_mode"))
+    # the rank is a limit, which each task applies before it sends anything
+    first = cells.withColumn("place", F.dense_rank().over(Window.partitionBy(*TABLE_KEY).orderBy("row_no"))).where((F.col("place") <= GARBLED_ROWS) & F.col("value").isNotNull())
+    first = first.groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(F.struct("col_no", "row_no", "value"))).alias("sample"))
+    t = t.join(mode, TABLE_KEY).join(first, TABLE_KEY, "left").withColumn("sample", F.coalesce("sample", F.array().cast(first.schema["sample"].dataType)))
     sample = F.slice("sample", F.lit(1), F.least(F.lit(GARBLED_CELLS), (F.col("n_rows") * F.col("n_cols")).cast("int")))
     odd = lambda c: c["value"].rlike(ODD_RUN) | ((F.length(c["value"]) > 5) & c["value"].rlike(SIGN_RUN))
     n, m = F.col("n_rows"), F.col("n_cols")

@@ -316,12 +316,12 @@ def csv_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quality_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables of three kinds: brands with holes, one-column lists of suppliers, documents' beginnings by source."""
+    """Tables of three kinds: brands with holes, one-column lists of suppliers, whole documents by source."""
     part = _part_cells(spark, sf_dir).select("doc_id", "row_no", "col_no", "value")
     s = _table(spark, sf_dir, "supplier")
     supplier = s.select(F.concat(F.lit("s"), F.col("s_nationkey").cast("string")), F.col("s_suppkey").cast("int"), F.lit(0), "s_name")
     d = _table(spark, sf_dir, "documents")
-    pair = F.array(F.col("lang"), F.substr("text", F.lit(1), F.lit(60)))
+    pair = F.array("lang", "text")
     docs = d.select("source", F.col("doc_id").cast("int"), F.posexplode(pair).alias("c", "v"))
     out = part.union(supplier).union(docs)
     return out.select("doc_id", F.lit(1).alias("page_no"), F.lit(1).alias("table_no"), "row_no", "col_no", F.concat(F.lit("c"), F.col("col_no").cast("string")).alias("col_name"), "value")
@@ -329,7 +329,7 @@ def _quality_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUALITY = f"""WITH {_PART_CELLS}, q AS (SELECT doc_id, row_no, col_no, value FROM cells
   UNION ALL SELECT 's' || s_nationkey, CAST(s_suppkey AS INTEGER), 0, s_name FROM supplier
-  UNION ALL SELECT source, CAST(doc_id AS INTEGER), unnest([0, 1]), unnest([lang, substr(text, 1, 60)]) FROM documents),
+  UNION ALL SELECT source, CAST(doc_id AS INTEGER), unnest([0, 1]), unnest([lang, text]) FROM documents),
 r AS (SELECT doc_id, row_no, count(*) AS width, count(value) AS filled, list(coalesce(value, 'None') ORDER BY col_no) AS vals FROM q GROUP BY ALL),
 m AS (SELECT doc_id, max(c) AS n_mode FROM (SELECT doc_id, filled, count(*) AS c FROM r GROUP BY ALL) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_rows, max(width) AS n_cols, CAST(sum(width) AS BIGINT) AS n_cells, CAST(sum(filled) AS BIGINT) AS n_filled, count(DISTINCT vals) AS n_distinct FROM r GROUP BY doc_id),
