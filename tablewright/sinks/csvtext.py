@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TABLE_KEY
+from .files import safe_name, write_files
 
 
 def quoted(value: Column) -> Column:
@@ -26,6 +27,9 @@ def csv_lines(cells: DataFrame) -> DataFrame:
 
 
 def write_csv(cells: DataFrame, folder: str) -> None:
-    """A folder of CSV text for each table, rows in order."""
-    rows = csv_lines(cells).repartition(*TABLE_KEY).sortWithinPartitions(*TABLE_KEY, "row_no")
-    rows.select(*TABLE_KEY, F.col("line").alias("value")).write.mode("overwrite").partitionBy(*TABLE_KEY).text(folder)
+    """folder/<doc_id>_p<page>_t<table>.csv for each table, rows in order, written from the tasks."""
+    whole = F.array_sort(F.collect_list(F.struct("row_no", "line")))
+    text = F.concat(F.array_join(F.transform(whole, lambda r: r["line"]), "\n"), F.lit("\n"))
+    files = csv_lines(cells).groupBy(*TABLE_KEY).agg(F.encode(text, "UTF-8").alias("content"))
+    name = F.concat(safe_name(F.col("doc_id")), F.lit("_p"), F.col("page_no").cast("string"), F.lit("_t"), F.col("table_no").cast("string"), F.lit(".csv"))
+    write_files(files.withColumn("path", F.concat(F.lit(f"{folder}/"), name)))

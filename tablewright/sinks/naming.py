@@ -23,14 +23,17 @@ def sheet_names(tables: DataFrame) -> DataFrame:
     return out.withColumn("sheet", sheet).drop("__name", "__n")
 
 
-def output_path(path: Column, folder: str | None = None, base: str | None = None) -> Column:
-    """The workbook of a file: beside it, or in folder, where its place under base is kept. The suffix stays in the name,
-    so that a.pdf and a.png don't meet."""
+def output_path(path: Column, folder: str | None = None, base: str | None = None, ending: str = ".xlsx") -> Column:
+    """The workbook of a file, or what else ends so: beside it, or in folder, where its place under base is kept. The
+    suffix stays in the name, so that a.pdf and a.png don't meet."""
     stem = F.regexp_replace(path, r"\.([^./]+)$", "_$1")
     if folder is None:
-        return F.concat(stem, F.lit(".xlsx"))
-    inner = F.regexp_extract(stem, r"([^/]+)$", 1) if base is None else F.regexp_replace(stem, "^" + base.rstrip("/").replace(".", r"\.") + "/", "")
-    return F.concat(F.lit(folder.rstrip("/") + "/"), inner, F.lit(".xlsx"))
+        return F.concat(stem, F.lit(ending))
+    inner = F.regexp_extract(stem, r"([^/]+)$", 1)
+    if base is not None:
+        root = F.lit(base.rstrip("/") + "/")
+        inner = F.when(stem.startswith(root), F.substr(stem, F.length(root) + 1, F.length(stem))).otherwise(inner)
+    return F.concat(F.lit(folder.rstrip("/") + "/"), inner, F.lit(ending))
 
 
 def file_status(files: DataFrame) -> DataFrame:

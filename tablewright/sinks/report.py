@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import safe_name, write_files
+
 
 def _lines(diff: DataFrame, name: str) -> DataFrame:
     key = F.coalesce(F.col("raw"), F.col("num").cast("decimal(38,2)").cast("string"))
@@ -27,5 +29,8 @@ def reports(summary: DataFrame, compared: DataFrame) -> DataFrame:
     return summary.join(short, "doc_id", "left").join(over, "doc_id", "left").select("doc_id", whole.alias("report"))
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    reports.write.mode("overwrite").partitionBy("doc_id").text(path)
+def write_reports(reports: DataFrame, folder: str | None = None) -> None:
+    """Write each report to its path (a column), or to folder/<doc_id>_validation.md, from the tasks that made it."""
+    if folder is not None:
+        reports = reports.withColumn("path", F.concat(F.lit(f"{folder}/"), safe_name(F.col("doc_id")), F.lit("_validation.md")))
+    write_files(reports.select("path", F.encode("report", "UTF-8").alias("content")))
