@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pages import MAX_BYTES, shrink
+from .pages import shrink, text_size
 
 try:
     from PIL import Image
@@ -30,13 +30,11 @@ def prepare(data: bytes, turn: Callable[[bytes], int] | None = None) -> bytes |
 
         def png(width: int, height: int) -> bytes:
             out = io.BytesIO()
-            (img if (width, height) == img.size else img.resize((width, height))).save(out, "PNG")
+            (img if (width, height) == img.size else img.resize((width, height), Image.LANCZOS)).save(out, "PNG")
             return out.getvalue()
 
         whole = png(*img.size)
-        as_text = lambda w, h: png(w, h)
-        limit = MAX_BYTES * 3 // 4
-        return shrink(*img.size, len(whole) * 4 // 3, as_text) or whole if len(whole) > limit else whole
+        return shrink(*img.size, text_size(len(whole)), png) or whole
     except Exception:
         return None
 

@@ -6,6 +6,7 @@ its errors become a column, so that one broken file fails no job.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ MAX_BYTES, LEAST_SIDE, ATTEMPTS, FIRST_SCALE, NEXT_SCALE, LEAST_CONFIDENCE, ZOOM
 
 PageReader = Callable[[bytes], Iterable[tuple[int, str, int]]]
 PageExtractor = Callable[[bytes, int], str]
+PageRenderer = Callable[[bytes, int], Iterable[tuple[int, bytes | None]]]
 TableReader = Callable[[bytes, dict], Iterable[tuple[int, int, list[list[str | None]]]]]
 
 # The second try of a text table reader, where lines of the page gave nothing.
@@ -44,26 +46,66 @@ def read_pages(files: DataFrame, reader: PageReader) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "doc_id string, page_no int, text string, image_count int, error string")
 
 
+def _tables_of(reader: TableReader, content: bytes) -> tuple[list, str | None]:
+    """What a reader yields: by ruled lines, and for pages that give none by TEXT_STRATEGY; and the first error. A table
+    may be an exception in place of its rows: then it alone is left out. An error of the reader itself ends its reading."""
+    got, error, done = [], None, set()
+    for how in ({}, TEXT_STRATEGY):
+        try:
+            for page, table, rows in reader(content, how):
+                if page in done:
+                    continue
+                if isinstance(rows, Exception):
+                    error = error or f"{type(rows).__name__}: {rows}"
+                else:
+                    got.append((page, table, rows))
+        except Exception as e:  # any decoder's error is the file's, not the job's
+            error = error or f"{type(e).__name__}: {e}"
+        done = {p for p, _, _ in got}
+    return got, error
+
+
 def read_tables(files: DataFrame, reader: TableReader) -> DataFrame:
-    """raw_tables of files by a text reader: by ruled lines, and if a file's page gives none by TEXT_STRATEGY. A file
-    that fails gives no tables."""
+    """raw_tables of files by a text reader, with error: a row without a page for each file that had one, besides the
+    tables that could be read."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                try:
-                    ruled = list(reader(content, {}))
-                    pages = {p for p, _, _ in ruled}
-                    got = ruled + [x for x in reader(content, TEXT_STRATEGY) if x[0] not in pages]
-                except Exception:
-                    got = []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(got), pa.string()), pa.array([p for p, _, _ in got], pa.int32()), pa.array([t for _, t, _ in got], pa.int32()), pa.array([r for _, _, r in got], pa.list_(pa.list_(pa.string())))], names=["doc_id", "page_no", "table_no", "rows"]
-                )
+                got, error = _tables_of(reader, content)
+                got = [(*x, None) for x in got] + ([(None, None, None, error)] if error else [])
+                kinds = (pa.int32(), pa.int32(), pa.list_(pa.list_(pa.string())), pa.string())
+                cols = [pa.array([x[i] for x in got], k) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(got), pa.string()), *cols], names=["doc_id", "page_no", "table_no", "rows", "error"])
 
-    return files.select("path", "content").mapInArrow(run, RAW_TABLES)
+    return files.select("path", "content").mapInArrow(run, RAW_TABLES + ", error string")
+
+
+def render_pages(files: DataFrame, renderer: PageRenderer, finish: Callable[[bytes], bytes | None] | None = None, zoom: int = ZOOM) -> DataFrame:
+    """Pictures of all pages (doc_id, page_no, image, error) of files (path, content), rendered at zoom and, if asked,
+    finished (turned, shrunk). A page that fails, or is not finished, has an error and no image; one that the renderer
+    stops at ends its file."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def shots(content: bytes):
+            try:
+                for page, image in renderer(content, zoom):
+                    if finish is not None and image is not None:
+                        image = finish(image)
+                    yield page, image, None if image is not None else "the picture could not be made"
+            except Exception as e:
+                yield None, None, f"{type(e).__name__}: {e}"
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                for page, image, error in shots(content):
+                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([page], pa.int32()), pa.array([image], pa.binary()), pa.array([error], pa.string())], names=["doc_id", "page_no", "image", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "doc_id string, page_no int, image binary, error string")
 
 
 def extract_live(pages: DataFrame, extractor: PageExtractor, concurrency: int) -> DataFrame:
@@ -98,6 +140,12 @@ def orientation(report: Column) -> Column:
     return F.when((turn != 0) & (sure > LEAST_CONFIDENCE), -turn).otherwise(0)
 
 
+def orientation_of(report: str) -> int:
+    """The same of one report, where a picture is at hand."""
+    turn, sure = re.search(r"Rotate: ([0-9]+)", report), re.search(r"Orientation confidence: ([0-9.]+)", report)
+    return -int(turn[1]) if turn and sure and float(sure[1]) > LEAST_CONFIDENCE else 0
+
+
 def first_size(width: Column, height: Column, n_bytes: Column) -> tuple[Column, Column]:
     """The first try at a size that fits MAX_BYTES; unchanged if it fits."""
     scale = FIRST_SCALE * F.sqrt(F.lit(float(MAX_BYTES)) / n_bytes)
@@ -105,15 +153,20 @@ def first_size(width: Column, height: Column, n_bytes: Column) -> tuple[Column,
     return fit(width), fit(height)
 
 
+def text_size(n_bytes: int) -> int:
+    """The length of so many bytes as base64 text."""
+    return -(-n_bytes // 3) * 4
+
+
 def shrink(width: int, height: int, n_bytes: int, encode: Callable[[int, int], bytes]) -> bytes | None:
-    """Encode at falling sizes until it fits, ATTEMPTS times at most; the last try may still be too large. None: it fits
-    as it is. encode renders the original at a size."""
+    """Encode at falling sizes until its base64 text fits MAX_BYTES, ATTEMPTS times at most; the last try may still be too
+    large. None: it fits as it is. n_bytes: the length of the picture's own text; encode renders the original at a size."""
     if n_bytes <= MAX_BYTES:
         return None
     scale, out = FIRST_SCALE * (MAX_BYTES / n_bytes) ** 0.5, b""
     for _ in range(ATTEMPTS):
         out = encode(max(LEAST_SIDE, int(width * scale)), max(LEAST_SIDE, int(height * scale)))
-        if len(out) <= MAX_BYTES:
+        if text_size(len(out)) <= MAX_BYTES:
             break
         scale *= NEXT_SCALE
     return out
