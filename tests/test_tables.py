@@ -1,10 +1,16 @@
+import base64
+import contextlib
+import sys
+import types
+import uuid
+
 import pytest
 
 from tablewright.operators import merge, normalize, quality, reconcile, rows
 from tablewright.plans.convert import convert
 from tablewright.schema import CELLS, PAGES, RAW_TABLES
 from tablewright.sinks import csvtext, naming, report, workbook
-from tablewright.sources import config, files, pages, responses
+from tablewright.sources import adapters, config, files, images, pages, responses
 from tablewright.streaming.staging import stage_cells
 
 
@@ -29,6 +35,18 @@ def test_quality_thresholds(spark):
     assert judge(spark, [["一丁丂", "x"], ["y", "z"]]).garbled and not judge(spark, [["été à", "x"]]).garbled
 
 
+def test_quality_of_whole_texts_and_many_rows(spark):
+    """Rows that differ late, garbled signs late in a cell, nulls beside the word None; against counts in Python."""
+    long = "x" * 500
+    table = [[long + str(i % 7), None if i % 3 else "None"] for i in range(40)] + [[long + "ééé\u4e00\u4e01\u4e02", "y"]]
+    got = judge(spark, table)
+    shown = [tuple("None" if v is None else v for v in r) for r in table]
+    assert (got.n_rows, got.n_cols, got.n_cells, got.n_filled, got.n_distinct) == (41, 2, 82, 41 + 14 + 1, len(set(shown)))
+    assert got.n_mode == max(26, 15) and got.n_sampled == 20 + 7 and got.n_garbled == 0
+    assert judge(spark, table[::-1]).n_garbled == 1
+    assert judge(spark, [[None, None]] * 3).n_sampled == 0
+
+
 def test_islands(spark):
     t = [("d", p, 1, n, None if p == 1 else "detail", ["Row_Type", "Col1"]) for p, n in ((1, 3), (2, 3), (3, 3), (5, 3), (6, 4))]
     df = spark.createDataFrame(t, "doc_id string, page_no int, table_no int, n_cols int, first_row_type string, header array<string>")
@@ -81,6 +99,35 @@ def test_workbook_round_trip(spark, tmp_path):
     assert got["Notes"] == [["Page", "Note"], ["Page 1", "See below"]]
 
 
+def test_notes_go_by_page_and_table(spark):
+    """Pages 1 to 12, two tables on a page with notes in the same row, and two notes on a page without rows."""
+    noted = [("d", p, t, 0, f"note {p}.{t}") for p in range(12, 0, -1) for t in (2, 1)]
+    notes = spark.createDataFrame(noted, "doc_id string, page_no int, table_no int, row_no int, note string")
+    got = workbook.read_workbook(workbook.workbooks(cells_of(spark, [["a"]]), notes).first().content)["Notes"]
+    assert got == [["Page", "Note"], *([f"Page {p}", f"note {p}.{t}"] for p in range(1, 13) for t in (1, 2))]
+    plain = workbook.workbooks(cells_of(spark, [["a"]]), notes.select("doc_id", "page_no", "note")).first().content
+    assert workbook.read_workbook(plain)["Notes"] == got
+
+
+def test_numbers_are_numbers(spark):
+    table = [["12", "007", "1,000", "x", "-0.5", "12345678901234567", None], ["3.25", "8", "5", "4", None, "1", "2"]]
+    got = workbook.read_workbook(workbook.workbooks(cells_of(spark, table)).first().content)["Sheet1"]
+    assert got[1:] == [[12, "007", "1,000", "x", -0.5, "12345678901234567"], [3.25, "8", "5", "4", None, "1", 2]]
+
+
+def test_files_are_written_from_tasks(spark, tmp_path, monkeypatch):
+    from tablewright.sinks import files as sink
+
+    rows = spark.createDataFrame([(f"file:{tmp_path}/{i % 3}/f{i}.bin", bytearray(b"x" * i)) for i in range(20)], "path string, content binary").repartition(4)
+    sink.write_files(rows)
+    sink.write_files(rows)  # again: replaced
+    assert sorted(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) == list(range(20))
+    monkeypatch.setattr(sink, "_store", lambda path: 1 / 0)  # no client for this store: the driver writes
+    sink.write_files(rows.selectExpr("replace(path, '/f', '/g') AS path", "content"))
+    assert len([p for p in tmp_path.rglob("g*.bin")]) == 20
+    sink.write_files(rows.limit(0))
+
+
 def test_scan_files(spark, tmp_path):
     for n in ("a.pdf", "b.PNG", "c.txt"):
         (tmp_path / n).write_bytes(b"x")
@@ -103,6 +150,16 @@ def test_broken_files_fail_no_job(spark):
     tables = pages.read_tables(df, lambda c, how: [(1, 1, [["h"], [c.decode()]])] if how else [])
     assert sorted(r.doc_id for r in tables.collect()) == ["a", "b"]
 
+    def partly(content, how):
+        yield 1, 1, [["h"], ["1"]]
+        yield 1, 2, ValueError("this table alone")
+        yield 1, 3, [["h"], ["3"]]
+        if content == b"bad":
+            raise OSError("and then the file")
+
+    got = sorted((r.doc_id, r.table_no or 0, r.error) for r in pages.read_tables(df, partly).collect())
+    assert got == [(d, t, None if t else "ValueError: this table alone") for d in ("a", "b") for t in (0, 1, 3)]
+
 
 def test_live_and_replayed_answers(spark):
     def extractor(image, page):
@@ -118,8 +175,8 @@ def test_live_and_replayed_answers(spark):
 
 def test_csv(spark, tmp_path):
     csvtext.write_csv(cells_of(spark, [["a,b", None], ['say "x"', "line\nbreak"]], names=["n", "m"]), str(tmp_path / "csv"))
-    lines = [r.value for r in spark.read.text(str(tmp_path / "csv"), wholetext=True).select("value").collect()]
-    assert lines == ['n,m\n"a,b",\n"say ""x""","line\nbreak"\n']
+    lines = [p.read_text() for p in (tmp_path / "csv").glob("*.csv")]
+    assert [p.name for p in (tmp_path / "csv").iterdir()] == ["d_p1_t1.csv"] and lines == ['n,m\n"a,b",\n"say ""x""","line\nbreak"\n']
 
 
 def test_report(spark):
@@ -131,17 +188,85 @@ def test_report(spark):
 
 
 def test_shrink():
+    """The limit is that of the base64 text, which is longer than the bytes by a third."""
     sizes = []
 
     def encode(w, h):
         sizes.append((w, h))
         return b"x" * (w * h * 8)
 
-    out = pages.shrink(2000, 1000, 16_000_000, encode)
-    assert len(out) <= pages.MAX_BYTES and sizes[0] == (1030, 515)
+    out = pages.shrink(2000, 1000, pages.text_size(12_000_000), encode)
+    assert pages.text_size(len(out)) <= pages.MAX_BYTES and sizes[0] == (1030, 515)
+    assert len(base64.b64encode(out)) == pages.text_size(len(out))
+    close = pages.shrink(1000, 1000, pages.MAX_BYTES + 4, lambda w, h: b"x" * int(pages.MAX_BYTES * 0.9 * w * h / 810_000))
+    assert len(base64.b64encode(close)) <= pages.MAX_BYTES
     assert pages.shrink(10, 10, 5, encode) is None
 
 
+def test_pictures_are_turned_and_shrunk(monkeypatch):
+    """With a stand-in for the picture library: mode, turn, resampling and the limit."""
+    calls = []
+
+    class Picture:
+        LANCZOS = "lanczos"
+
+        def __init__(self, mode="P", size=(4000, 2000)):
+            self.mode, self.size = mode, size
+
+        def convert(self, mode):
+            calls.append(("convert", mode))
+            return Picture(mode, self.size)
+
+        def rotate(self, degrees, expand):
+            calls.append(("rotate", degrees, expand))
+            return Picture(self.mode, self.size[::-1])
+
+        def resize(self, size, how):
+            calls.append(("resize", how))
+            return Picture(self.mode, size)
+
+        def save(self, out, kind):
+            out.write(b"p" * (self.size[0] * self.size[1]))
+
+    library = type("Library", (), {"LANCZOS": "lanczos", "open": staticmethod(lambda data: Picture())})
+    monkeypatch.setattr(images, "Image", library)
+    out = images.prepare(b"", lambda data: -90)
+    assert calls[:2] == [("convert", "RGB"), ("rotate", -90, True)] and ("resize", "lanczos") in calls
+    assert len(base64.b64encode(out)) <= pages.MAX_BYTES
+    assert pages.orientation_of("Rotate: 270\nOrientation confidence: 3.1") == -270 and pages.orientation_of("Rotate: 270\nOrientation confidence: 0.9") == 0 and pages.orientation_of("") == 0
+
+
+def test_render_pages(spark):
+    def renderer(content, zoom):
+        yield 1, content + str(zoom).encode()
+        yield 2, None
+        if content == b"b":
+            raise ValueError("page 3")
+
+    df = spark.createDataFrame([("a", bytearray(b"a")), ("b", bytearray(b"b"))], "path string, content binary")
+    got = sorted((r.doc_id, r.page_no or 9, bytes(r.image or b""), r.error) for r in pages.render_pages(df, renderer, lambda image: image.upper()).collect())
+    assert [(d, p, i) for d, p, i, _ in got] == [("a", 1, b"A4"), ("a", 2, b""), ("b", 1, b"B4"), ("b", 2, b""), ("b", 9, b"")] and got[-1][3] == "ValueError: page 3"
+
+
+def test_adapters(monkeypatch):
+    """The optional readers, with stand-ins for their libraries."""
+    found = lambda rows: types.SimpleNamespace(extract=lambda: rows if rows else 1 / 0)
+    sheet = types.SimpleNamespace(extract_text=lambda: "text", images=[1, 2], find_tables=lambda how: [found([["a"], ["1"]]), found(None)])
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda f: contextlib.nullcontext(types.SimpleNamespace(pages=[sheet]))))
+    assert list(adapters.pdf_pages(b"")) == [(1, "text", 2)]
+    (_, _, rows), (_, t, error) = adapters.pdf_tables(b"", {})
+    assert rows == [["a"], ["1"]] and t == 2 and isinstance(error, ZeroDivisionError)
+
+    class Pages(list):
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *a: None
+
+    page = types.SimpleNamespace(get_pixmap=lambda matrix: types.SimpleNamespace(tobytes=lambda kind: f"{kind}{matrix}".encode()))
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda stream, filetype: Pages([page, None]), Matrix=lambda x, y: (x, y)))
+    assert list(adapters.pdf_pictures(b"", 4)) == [(1, b"png(4, 4)"), (2, None)]
+    assert adapters.by_model(lambda prompt, image, most: f"{len(prompt) > 100} {image} {most}")(b"i", 1) == "True b'i' 4096"
+
+
 def test_convert(spark):
     p = spark.createDataFrame([("/a.pdf", 1, "Rent 10 total 20 and " + "x" * 50, 0), ("/b.pdf", 1, "", 1)], PAGES)
     text = spark.createDataFrame([("/a.pdf", 1, 1, [["Row_Type", "Category", "Y"], ["DETAIL", "Rent", "10"], ["ROLLUP", "Total", "20"]])], RAW_TABLES)
@@ -152,6 +277,8 @@ def test_convert(spark):
     assert b == [(1, 0, 0, "Row_Type", "HEADER"), (1, 0, 1, "A", "5"), (1, 0, 2, "B", "(7)"), (1, 1, 0, "Row_Type", "DETAIL"), (1, 1, 1, "A", "8"), (1, 1, 2, "B", "9")]
     s = {r.doc_id: (r.accuracy, r.status) for r in c.summary.collect()}
     assert s["/a.pdf"] == (100.0, "completed") and s["/b.pdf"][1] == "skipped"
+    lone = convert(p.limit(0), text, vision.limit(0))
+    assert [tuple(r) for r in lone.routes.collect()] == [("/a.pdf", "text")] and lone.cells.count() == 6 and lone.summary.first().status == "skipped"
 
 
 def test_stage_cells(spark, tmp_path):
@@ -195,5 +322,69 @@ def test_convert_directory(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r.status for r in status.collect()}
     assert got == {"a.pdf": "success", "b.pdf": "success", "c.pdf": "failed", "d.png": "success", "e.pdf": "no_tables"}
     assert sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*.xlsx")) == ["a_pdf.xlsx", "d_png.xlsx", "sub/b_pdf.xlsx"]
-    assert workbook.read_workbook((tmp_path / "out/sub/b_pdf.xlsx").read_bytes())["Sheet1"] == [["A", "B"], ["5", "(7)"]]
-    assert {r.doc_id.rsplit("/", 1)[1] for r in spark.read.parquet(f"{tmp_path}/out/_reports").collect()} == {"a.pdf", "b.pdf", "e.pdf"}
+    assert workbook.read_workbook((tmp_path / "out/sub/b_pdf.xlsx").read_bytes())["Sheet1"] == [["A", "B"], [5, "(7)"]]
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*_validation.md")) == ["a_pdf_validation.md", "b_pdf_validation.md"]
+    assert "| 2 | 2 | 2 | 100.00% |" in (tmp_path / "out/a_pdf_validation.md").read_text()
+
+
+def test_live_extraction_is_saved_and_not_repeated(spark, tmp_path):
+    """Documents for vision are rendered and asked for, picture files too; a second run asks nothing."""
+    from tablewright.plans.batch import convert_directory, convert_file
+
+    (tmp_path / "in").mkdir()
+    for name, data in (("scan.pdf", b"scan"), ("text.pdf", b"text"), ("shot.png", b"shot")):
+        (tmp_path / "in" / name).write_bytes(data)
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def extractor(image, page):
+        (log / f"{image.decode()}-{page}-{uuid.uuid4().hex}").touch()
+        if page == 3:
+            raise TimeoutError("slow")
+        return f"A,B\n{page},{image.decode()}"
+
+    readers = {
+        "page_reader": lambda content: [(1, "Rent 10 and Total 10", int(content == b"scan"))],
+        "table_reader": lambda content, how: [(1, 1, [["Row_Type", "Y"], ["DETAIL", "10"], ["ROLLUP", "10"]])] if content == b"text" else [],
+    }
+    live = {"renderer": lambda content, zoom: [(n, content) for n in (1, 2, 3, 4, 5)], "extractor": extractor, "concurrency": 2, "save_every": 2}
+    run = lambda: {r.path.rsplit("/", 1)[1]: (r.status, r.n_tables) for r in convert_directory(spark, f"{tmp_path}/in", f"file:{tmp_path}/out", f"file:{tmp_path}/staging", **readers, **live).collect()}
+    want = {"scan.pdf": ("success", 4), "text.pdf": ("success", 1), "shot.png": ("success", 1)}
+    assert run() == want and len(list(log.iterdir())) == 6 and len(list((tmp_path / "staging/answers").glob("batch=*"))) >= 2
+    sheets = workbook.read_workbook((tmp_path / "out/scan_pdf.xlsx").read_bytes())
+    assert sheets["Page4_Table1"] == [["A", "B"], [4, "scan"]] and len(sheets) == 4
+    assert convert_file(spark, f"{tmp_path}/in/text.pdf", f"file:{tmp_path}/one", f"file:{tmp_path}/staging2", **readers).endswith("/one/text_pdf.xlsx")
+    assert workbook.read_workbook((tmp_path / "one/text_pdf.xlsx").read_bytes())["Sheet1"][1] == ["DETAIL", 10]
+
+
+PLUGS = """
+def pages(content):
+    if content == b"broken":
+        raise ValueError("broken")
+    return [(1, "Rent 10 Total 10", int(content == b"scan"))]
+
+
+def tables(content, how):
+    return [(1, 1, [["Row_Type", "Y"], ["DETAIL", "10"], ["ROLLUP", "10"]])] if content == b"text" else []
+"""
+
+
+def test_command_converts(spark, tmp_path, capsys, monkeypatch):
+    from tablewright import cli
+
+    (tmp_path / "plugged_readers.py").write_text(PLUGS)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, data in (("a.pdf", b"text"), ("deep/b.pdf", b"scan"), ("c.pdf", b"broken"), ("notes.txt", b"-")):
+        (tmp_path / "in" / name).write_bytes(data)
+    spark.createDataFrame([(f"file:{tmp_path}/in/deep/b.pdf", 1, "A,B\n1,2")], "doc_id string, page_no int, csv_text string").write.parquet(str(tmp_path / "answers"))
+    plugs = ["--pages", "plugged_readers:pages", "--tables", "plugged_readers:tables"]
+    assert cli.main([f"{tmp_path}/in", "-o", f"file:{tmp_path}/out", "-r", "--answers", str(tmp_path / "answers"), *plugs]) == 1
+    said = capsys.readouterr().out
+    assert "1 failed, 2 success" in said and "ValueError: broken" in said
+    made = sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*") if p.suffix in (".xlsx", ".md"))
+    assert made == ["a_pdf.xlsx", "a_pdf_validation.md", "deep/b_pdf.xlsx", "deep/b_pdf_validation.md"]
+    assert cli.main([f"{tmp_path}/in/a.pdf", *plugs, "--staging", f"file:{tmp_path}/s"]) == 0 and (tmp_path / "in/a_pdf.xlsx").exists() and (tmp_path / "in/a_pdf_validation.md").exists()
+    assert cli.main([f"{tmp_path}/in", "--list", *plugs[:2]]) == 0 and "text\t" in capsys.readouterr().out
+    (tmp_path / "none").mkdir()
+    assert cli.main([f"{tmp_path}/none", "-o", f"file:{tmp_path}/out2", *plugs]) == 2
