@@ -1,7 +1,9 @@
 """Trained operators: held-out accuracy, and odd rows."""
 
 import random
+import re
 import warnings
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -40,6 +42,34 @@ def test_langid(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_identification_against_loops(spark, docs):
+    """The network written as loops over bytes, filters and places, for whole texts of several windows."""
+    rng = np.random.default_rng(3)
+    net = langid.ByteCNN(["p", "q", "r"], {w: rng.normal(size=(w, 256, 4)).astype(np.float32) for w in (2, 3)}, rng.normal(size=(8, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    few = docs.where("length(text) < 1500").limit(25)
+    for r in langid.identify(few, net).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        raw = [b + 32 if 65 <= b <= 90 else b for b in r.text.encode()]
+        logs = []
+        for at in range(0, len(raw), langid.WINDOW):
+            window = raw[at : at + langid.WINDOW] + [0] * (langid.WINDOW - len(raw[at : at + langid.WINDOW]))
+            best = [max(sum(float(t[j, window[i + j], f]) for j in range(w)) for i in range(langid.WINDOW - w + 1)) for w, t in net.tables.items() for f in range(4)]
+            z = [sum(max(0.0, b) * float(net.out[k, c]) for k, b in enumerate(best)) + float(net.bias[c]) for c in range(3)]
+            logs.append([x - max(z) - np.log(sum(np.exp(y - max(z)) for y in z)) for x in z])
+        mean = np.mean(logs, axis=0)
+        p = np.exp(mean) / np.exp(mean).sum()
+        assert r.lang_pred == net.langs[int(p.argmax())] and abs(r.score - p.max()) < 1e-3
+
+
+def test_many_languages_and_a_bound_on_them(spark):
+    rows = [(i, f"{'abcdefgh'[i % 8] * 3} text {i}", "abcdefgh"[i % 8]) for i in range(400)] + [(1000 + i, "aaa more", "a") for i in range(50)]
+    df = spark.createDataFrame(rows + [rows[0]] * 30, "doc_id long, text string, lang string")
+    assert langid.fit(df, F.lit(True), max_docs=40).langs == list("abcdefgh")
+    assert langid.fit(df, F.lit(True), max_docs=40, max_langs=3).langs == ["a", "b", "c"]
+
+
 def test_convolution_gradient_learns_exactly():
     x = np.zeros((40, langid.WINDOW), np.uint8)
     x[:20, 100:104], x[20:, 7:11] = list(b"abcd"), list(b"abdc")
@@ -79,6 +109,44 @@ def test_pu_risk_is_corrected():
     assert model.score("bad x") > 0.9 and model.score("x") < 0.1
 
 
+def test_minimised_risk_against_a_grid():
+    """The non-negative risk as it is written down: no weight and bias of a grid has less, where the correction binds and
+    where it doesn't."""
+    def risk(model, positive, unlabelled, prior, decay=2e-5):
+        rows = lambda c: (np.array([[float(0 in t)] for t in c]), np.array(list(c.values()), float) / sum(c.values()))
+        (xp, wp), (xu, wu) = rows(positive), rows(unlabelled)
+        w, b = np.array([model[0]]), model[1]
+        zp, zu = xp @ w + b, xu @ w + b
+        return prior * (wp @ np.logaddexp(0, -zp)) + max(0.0, wu @ np.logaddexp(0, zu) - prior * (wp @ np.logaddexp(0, zp))) + decay / 2 * w @ w
+
+    for hits, prior in ((30, 0.3), (60, 0.5), (10, 0.2)):
+        positive, unlabelled = Counter({(0,): 80, (): 20}), Counter({(0,): hits, (): 200 - hits})
+        model = toxicity.minimise(["x"], positive, unlabelled, prior, steps=4000, rate=0.02)
+        got = risk((model.weights["x"], model.bias), positive, unlabelled, prior)
+        best = min(risk((w, b), positive, unlabelled, prior) for w in np.arange(-2, 12, 0.25) for b in np.arange(-8, 4, 0.25))
+        assert got <= best + 0.02, (hits, got, best)
+
+
+def test_scores_against_plain_words(spark):
+    """Scores from a plain reading of words and their beginnings."""
+    model = toxicity.WordModel({"vile": 2.0, "nast-": 1.0, "nast+": 0.5, "kind": -3.0}, -1.0)
+    texts = ["Vile", "nasty", "nasty nastier", "vile kind", "", None, "nothing", "VILE! nasty-nastiest kind"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(df, model).collect():
+        w = set(re.findall("[a-z]+", (r.text or "").lower()))
+        starts = [x[:4] for x in w if len(x) > 4]
+        z = -1 + 2 * ("vile" in w) + ("nast" in starts) + 0.5 * (starts.count("nast") > 1) - 3 * ("kind" in w)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.7)
+
+
+def test_prior_can_be_given(spark):
+    rows = [(i, f"{'bad' if i % 4 == 0 else 'some'} w{i} x{i} y{i} z{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    only = spark.createDataFrame([(i, 1) for i in range(0, 400, 8)], "doc_id long, toxic int")
+    # all labels are positive: their share says nothing of the rows
+    assert toxicity.fit(docs, only, F.lit(True), prior=0.25).score("some word") < 0.2
+
+
 def test_quality(spark):
     rng = random.Random(3)
     rows, labels = [], []
@@ -103,6 +171,33 @@ def test_quality(spark):
     assert quality.rate(docs, quality.fit(docs, quality.graded(lab.limit(0)))).count() == len(rows)
 
 
+def test_ratings_against_loops(spark):
+    """Hashed features and tail probabilities, written as loops."""
+    rng = np.random.default_rng(4)
+    model = quality.OrdinalModel(rng.normal(size=quality.WIDTH).astype(np.float32), np.array([-0.5, 0.7]))
+    texts = ["Some words, and Some more words: 12!", "é\n\tüb", "ab", "", None, "x " * 5000]
+
+    def classed(b):
+        return 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b == 10 else 4 if b == 32 else 5 if b >= 128 else 6 + b % 10
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality.rate(df, model).collect():
+        raw, z, n = list((r.text or "").encode()), 0.0, Counter()
+        for i in range(len(raw) - 2):
+            a, b, c = raw[i : i + 3]
+            n[((a * 65536 + b * 256 + c) * 2654435761 >> 15) % quality.HASHED] += 1
+            n[quality.HASHED + classed(a) * 256 + classed(b) * 16 + classed(c)] += 1
+        for k, m in n.items():
+            z += float(model.weights[k]) * (m / (len(raw) - 2)) ** 0.5
+        w = (r.text or "").split()
+        at = quality.HASHED + quality.SHAPED
+        if w:
+            z += float(model.weights[at + min(15, int(len(set(w)) / len(w) * 16))])
+        z += float(model.weights[at + 16 + min(15, len(raw).bit_length())])
+        tails = [1 / (1 + np.exp(t - z)) for t in model.thresholds]
+        assert abs(r.expected_grade - sum(tails)) < 1e-4 and abs(r.tail - tails[0]) < 1e-4 and r.selected == (r.tail >= 0.5)
+
+
 def test_ordinal_likelihood_against_a_grid():
     x = np.array([[0.0], [1.0], [0.0], [1.0], [0.0], [1.0], [1.0]], np.float32)
     y = np.array([0, 2, 1, 2, 0, 1, 2])

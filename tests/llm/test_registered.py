@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -46,6 +47,56 @@ def test_a_row_for_each_document(spark, name):
     assert ids(QUERIES[name](spark, SF)) == ids(table(spark, SF, "documents"))
 
 
+def copied(spark, tmp_path, **tables):
+    """The smallest tables, some of them replaced."""
+    for name in ("documents", "labels"):
+        tables.get(name, table(spark, SF, name)).write.mode("overwrite").parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def rest(doc_id, n):
+    return zlib.crc32(str(doc_id).encode()) % n
+
+
+def test_langid_contract(spark, tmp_path):
+    """Held-out marks, learned values, und; held-out languages, and all sources, change nothing."""
+    docs = table(spark, SF, "documents")
+    odd = spark.createDataFrame([(900001, None, "en", "s", 0), (900002, "", "en", "s", 0), (900003, "12 %% \n 7", None, "s", 0), (900004, "12 a", "en", "s", 0), (None, "the and of", None, None, 0)], docs.schema)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    changed = docs.withColumns({"lang": F.when(held, F.lit("zz")).otherwise(F.col("lang")), "source": F.lit("other")})
+    one = {r.doc_id: r for r in QUERIES["op6_langid"](spark, copied(spark, tmp_path / "a", documents=docs.union(odd))).collect()}
+    two = {r.doc_id: r for r in QUERIES["op6_langid"](spark, copied(spark, tmp_path / "b", documents=changed.union(odd))).collect()}
+    learned = {r.lang for r in docs.where(~held).select("lang").collect()}
+    for i, r in one.items():
+        assert r.held_out == (i is not None and rest(i, 4) == 2) and 0 <= r.score <= 1 and r.lang_pred in learned | {"und"}
+        assert (r.lang_pred == "und") == (i in (900001, 900002, 900003)) and two[i].lang_pred == r.lang_pred and abs(two[i].score - r.score) < 1e-6
+    assert [f.dataType.simpleString() for f in QUERIES["op6_langid"](spark, SF).schema] == ["bigint", "boolean", "string", "double"]
+
+
+def test_toxicity_contract(spark, tmp_path):
+    """Held-out marks and the threshold; labels of held-out rows, languages and sources change nothing."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    odd = spark.createDataFrame([(900001, None, "en", "s", 0), (900002, "", None, None, 0)], docs.schema)
+    one = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, copied(spark, tmp_path / "a", documents=docs.union(odd))).collect()}
+    two = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, copied(spark, tmp_path / "b", documents=docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")}).union(odd), labels=flipped)).collect()}
+    for i, r in one.items():
+        assert r.held_out == (rest(i, 3) == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) and abs(two[i].score - r.score) < 1e-9
+    assert one[900001].score == one[900002].score
+    assert [f.dataType.simpleString() for f in QUERIES["op8_toxicity"](spark, SF).schema] == ["bigint", "boolean", "double", "int"]
+
+
+def test_quality_on_rows_it_did_not_learn_from(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, ratings = table(spark, sf, "documents"), quality.graded(table(spark, sf, "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = quality.fit(docs, ratings.where(~held))
+    got = quality.rate(docs, model, keep_text=False).join(ratings.where(held), "doc_id").select("grade", "selected", "expected_grade").collect()
+    right = sum(r.selected == (r.grade > 0) for r in got)
+    assert len(got) > 60 and right >= 0.93 * len(got)
+
+
 def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
