@@ -66,7 +66,7 @@ PATTERNS = {
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "national": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME}(?: {_NAME})*+|(?<=(?iu:{'|'.join(NAME_LABELS)})\s{{0,2}}:\s{{0,2}}){_NAME}(?: {_NAME})++",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}{_NAME}(?: {_NAME})*+|(?=\p{{Lu}})(?<=(?iu:{'|'.join(NAME_LABELS)})\s{{0,2}}:\s{{0,2}}){_NAME}(?: {_NAME})++",
 }
 
 def _any(*kinds: str) -> str:
@@ -88,7 +88,9 @@ def may_hold(text: Column) -> Column:
     found = text.rlike("[0-9]")
     for mark in marks:
         found = found | text.contains(mark)
-    found = found | text.rlike("(?i:token|secret|passw|key)") | text.rlike(f"(?iu:{'|'.join(NAME_LABELS)})\\s{{0,2}}:")
+    # the rare sign first, then what stands before it
+    signs = rf"""[=:](?<=(?i:token|secret|passwd|password|key)["']?\s{{0,2}}[=:])|:(?<=(?iu:{'|'.join(NAME_LABELS)})\s{{0,2}}:)"""
+    found = found | text.rlike(signs)
     return F.coalesce(found, F.lit(False))
 
 
