@@ -9,23 +9,24 @@ A turn's effect on the automaton's four states is a (min, +) matrix, and such ma
 chunks of CHUNK turn numbers, and where turns repeat, so that a chunk holds more messages than that, again by turn, role
 and ranges of the text's hash, which is the order of messages. For conversations of several chunks each chunk's matrix is
 made first, the states between the chunks follow from these, and then every chunk is repaired by itself. No task holds
-more than a chunk's messages, or a small matrix for each chunk of a conversation.
+more than a chunk's messages, or a small matrix for each chunk of a span, or for each span of a conversation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, sorted_groups
 
-CHUNK = 512
+#: Turn numbers of a chunk, chunks of a span.
+CHUNK, SPAN = 512, 4096
 MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 1, 3, 1, 2
 ROLES = ("system", "user", "assistant")
 BEGIN, SYSTEM, USER, ASSISTANT = 0, 1, 2, 3
@@ -147,41 +148,71 @@ def _by_chunk(rows: DataFrame) -> DataFrame:
     return rows.repartition("chunk").sortWithinPartitions(*_ORDER)
 
 
-def _states(spark: SparkSession, keyed: DataFrame) -> DataFrame:
-    """chunk, start, end, last for the chunks of conversations that have more than one."""
-    chunks = keyed.select(*_PLACE, "chunk").distinct()
-    several = chunks.groupBy("ck").agg(F.count("*").alias("n")).where("n > 1").select("ck")
-    rows = keyed.join(several, "ck", "left_semi").select(*_PLACE, "chunk", "turn", "role", "th")
-    kinds = {f.name: f.dataType for f in keyed.schema.fields}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in (*_PLACE, "chunk")] + T.StructType.fromDDL("m array<bigint>").fields)
+def _walk(ms: list[list[int]], start: int, end: int | None) -> tuple[list[int], list[int]]:
+    """States before and after each matrix of a row, at least cost from start to end; end None: to a conversation's end."""
+    cost, back = np.full(4, _FAR), []
+    cost[start] = 0
+    for m in ms:
+        through = cost[:, None] + np.array(m).reshape(4, 4)
+        back.append(through.argmin(axis=0))
+        cost = through.min(axis=0)
+    if end is None:
+        end = int((cost + [INSERT * len(close(s)) for s in range(4)]).argmin())
+    starts, ends = [], []
+    for b in reversed(back):
+        ends.append(end)
+        end = int(b[end])
+        starts.append(end)
+    return starts[::-1], ends[::-1]
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, "chunk"):
+
+def _products(rows: DataFrame, key: str, of: Callable[[pa.Table], Iterator[np.ndarray]], *keep: str) -> DataFrame:
+    """One row for each run of key over rows sorted by it: the columns to keep, and m, the product of its matrices."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in keep] + T.StructType.fromDDL("m array<bigint>").fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, key):
             m = np.where(np.eye(4, dtype=bool), 0, _FAR)
-            for r in group.column("role").to_pylist():
-                m = times(m, matrix(role_id(r)))
+            for x in of(group):
+                m = times(m, x)
             first = group.slice(0, 1)
-            yield pa.RecordBatch.from_arrays([*(first.column(c).combine_chunks() for c in (*_PLACE, "chunk")), pa.array([m.ravel().tolist()], pa.list_(pa.int64()))], names=schema.names)
-
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, "ck"):
-            cost, back = np.array([0, _FAR, _FAR, _FAR]), []
-            for m in group.column("m").to_pylist():
-                through = cost[:, None] + np.array(m).reshape(4, 4)
-                back.append(through.argmin(axis=0))
-                cost = through.min(axis=0)
-            end = int((cost + [INSERT * len(close(s)) for s in range(4)]).argmin())
-            ends, starts = [], []
-            for b in reversed(back):
-                ends.append(end)
-                end = int(b[end])
-                starts.append(end)
-            last = [i == 0 for i in range(len(ends))][::-1]
-            yield pa.RecordBatch.from_arrays([group.column("chunk").combine_chunks(), pa.array(starts[::-1], pa.int32()), pa.array(ends[::-1], pa.int32()), pa.array(last)], names=["chunk", "start", "end", "last"])
-
-    made = _by_chunk(rows).mapInArrow(matrices, schema)
-    ordered = made.repartition("ck").sortWithinPartitions(*_PLACE)
-    return materialise(spark, ordered.mapInArrow(between, "chunk string, start int, end int, last boolean"), "chat-states")
+            yield pa.RecordBatch.from_arrays([*(first.column(c).combine_chunks() for c in keep), pa.array([m.ravel().tolist()], pa.list_(pa.int64()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _between(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """name, start, end, last for rows (key, name, m, start, end, last) sorted by key and place: the states around each
+    matrix. start, end and last are those of the whole run, end null where the run ends the conversation."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField(name, kinds[name]), *T.StructType.fromDDL("start int, end int, last boolean").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, key):
+            start, end, last = (group.column(c)[0].as_py() for c in ("start", "end", "last"))
+            starts, ends = _walk(group.column("m").to_pylist(), start, end)
+            ending = [False] * (len(ends) - 1) + [last]
+            yield from pa.Table.from_arrays([group.column(name), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(ending)], names=schema.names).to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _states(spark: SparkSession, keyed: DataFrame) -> DataFrame:
+    """chunk, start, end, last for the chunks of conversations that have more than one. Of a conversation of more than SPAN
+    chunks each span is walked by itself, between the states that a walk over the spans' products gives."""
+    chunks = keyed.select(*_PLACE, "chunk").distinct()
+    several = chunks.groupBy("ck").agg(F.count("*").alias("n")).where("n > 1").select("ck")
+    rows = _by_chunk(keyed.join(several, "ck", "left_semi").select(*_PLACE, "chunk", "turn", "role", "th"))
+    made = _products(rows, "chunk", lambda group: (matrix(role_id(r)) for r in group.column("role").to_pylist()), *_PLACE, "chunk")
+    number = F.row_number().over(Window.partitionBy("ck").orderBy(*_PLACE[1:])) - 1
+    made = made.withColumn("n", number).withColumn("span", F.concat_ws("|", F.floor(F.col("n") / SPAN).cast("string"), "ck"))
+    made = materialise(spark, made.select("ck", "span", "n", "chunk", "m"), "chat-chunks")
+    spans = _products(made.repartition("span").sortWithinPartitions("span", "n"), "span", lambda group: (np.array(m).reshape(4, 4) for m in group.column("m").to_pylist()), "ck", "span", "n")
+    whole = {"start": F.lit(BEGIN), "end": F.lit(None).cast("int"), "last": F.lit(True)}
+    around = _between(spans.withColumns(whole).repartition("ck").sortWithinPartitions("ck", "n"), "ck", "span")
+    inner = made.join(materialise(spark, around, "chat-spans"), "span").repartition("span").sortWithinPartitions("span", "n")
+    return materialise(spark, _between(inner, "span", "chunk"), "chat-states")
 
 
 def format_chats(spark: SparkSession, chats: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import chat, topk
@@ -131,10 +132,12 @@ def test_format_chats(spark):
     assert chat.format_chats(spark, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_long_conversation_in_chunks(spark):
+@pytest.mark.parametrize("span", [4096, 2])
+def test_long_conversation_in_chunks(spark, monkeypatch, span):
+    monkeypatch.setattr(chat, "SPAN", span)
     rng = random.Random(5)
     names = ["system", "user", "assistant", "tool"]
-    rows = [(9, t, rng.choice(names), f"t{t}") for t in range(3 * chat.CHUNK + 7)] + [(10, 0, "user", "z" * 200_000)]
+    rows = [(9, t, rng.choice(names), f"t{t}") for t in range(5 * chat.CHUNK + 7)] + [(10, 0, "user", "z" * 200_000)]
     got = sorted(pieces(spark, rows)[9], key=lambda r: r.turn)
     roles = [chat.role_id(r.role) for r in got]
     cost = sum(chat.INSERT * r.n_inserted + (chat.MERGE if "merge" in r.action else 0) + (0 if "relabel" not in r.action else chat.RELABEL if i else chat.RELABEL_UNKNOWN) for r, i in zip(got, roles, strict=True))
