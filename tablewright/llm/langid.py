@@ -106,12 +106,18 @@ def fit(docs: DataFrame, learn: Column, max_docs: int = MAX_DOCS, max_langs: int
     language the least text counts. None if no row can be learned from.
     """
     rows = docs.where(learn & F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    langs = sorted(r[0] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect())
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    langs = sorted(r.lang for r in known)
     if not langs:
         return None
+    # a threshold of the hash for each language leaves few more ids than are wanted, so that ranking them is cheap
+    wanted = max(1, max_docs // len(langs))
+    share = {r.lang: (wanted + 6 * wanted**0.5 + 10) * 1.4 / max(1, r.ids) for r in known}
+    least = docs.sparkSession.createDataFrame([(la, min(2**63 - 1, int(-(2**63) + min(1.0, x) * 2**64))) for la, x in share.items()], "lang string, most long")
+    h = F.xxhash64("doc_id")
+    ids = rows.select("lang", "doc_id").join(F.broadcast(least), "lang").where(h <= F.col("most")).select("lang", "doc_id").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.where(F.col("lang").isin(langs)).select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order))
-    ids = ids.where(F.col("place") <= max(1, max_docs // len(langs))).select("lang", "doc_id")
+    ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= wanted).select("lang", "doc_id")
     every = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     parts = F.transform(
         F.sequence(F.lit(0), F.lit(DOC_WINDOWS - 1)),
