@@ -459,14 +459,29 @@ def rollup_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_no", "formula", F.round(F.col("detail_sum") * 100).cast("long").alias("cents"))
 
 
-@_query("SELECT r_regionkey * 1000 AS row_no, 'Note, ' || r_name AS note FROM region WHERE r_regionkey % 2 = 0")
+@_query("""SELECT CAST(conv_id AS VARCHAR) AS doc_id, turn + 1 AS page_no, text AS note FROM conversations WHERE turn % 3 = 0 AND turn % 2 = 0 AND conv_id % 5 <> 0
+UNION ALL SELECT 's', 1, 'Note, ' || r_name FROM region WHERE r_regionkey % 2 = 0""")
 def general_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.general_notes(_statement_cells(spark, sf_dir)).select("row_no", "note")
+    """Of a statement, and of turns as tables of one row; some tables have no column of notes."""
+    k, t = F.col("conv_id"), F.col("turn")
+    kind = F.when(t % 3 == 0, " header").otherwise("DETAIL")
+    pair = F.array(F.struct(F.lit("Row_Type").alias("n"), kind.alias("v")), F.struct(F.when(k % 5 == 0, "Remark").otherwise("Notes").alias("n"), F.when(t % 2 == 0, F.col("text")).alias("v")))
+    chat = _table(spark, sf_dir, "conversations").select(k.cast("string").alias("doc_id"), (t + 1).cast("int").alias("page_no"), F.lit(1).alias("table_no"), F.lit(0).alias("row_no"), F.posexplode(pair).alias("col_no", "x"))
+    cells = chat.select(*TABLE_KEY, "row_no", "col_no", F.col("x.n").alias("col_name"), F.col("x.v").alias("value"))
+    return _long(rows.general_notes(cells.union(_statement_cells(spark, sf_dir))), "page_no").select("doc_id", "page_no", "note")
 
 
-@_query("SELECT * FROM (VALUES ('Row_Type', false), ('Category', false), ('2020', true), ('Notes', false)) t(col_name, is_numeric)")
+@_query("""WITH c AS (SELECT source AS doc_id, doc_id AS row_no, unnest(['Category', 'Text', 'Notes', 'Chars', 'Mark']) AS col_name, unnest([lang, text, CAST(n_chars AS VARCHAR), CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars AS VARCHAR) END, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '$' ELSE 'x' END]) AS value FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, col_name ORDER BY value IS NULL, row_no) AS i FROM c)
+SELECT doc_id, col_name, bool_or(coalesce(col_name NOT IN ('Category', 'Notes') AND regexp_matches(value, '[0-9$%,]'), false)) AS is_numeric FROM f WHERE i <= 5 GROUP BY ALL""")
 def numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.numeric_columns(_statement_cells(spark, sf_dir)).select("col_name", "is_numeric")
+    """Documents of a source as rows of a table: labels, texts, amounts with holes and signs."""
+    d, n = _table(spark, sf_dir, "documents"), F.col("n_chars").cast("string")
+    k = F.col("doc_id")
+    pairs = (("Category", F.col("lang")), ("Text", F.col("text")), ("Notes", n), ("Chars", F.when(k % 3 == 0, n)), ("Mark", F.when(k % 4 == 1, "$").when(k % 4 != 0, "x")))
+    five = F.array(*[F.struct(F.lit(c).alias("n"), v.alias("v")) for c, v in pairs])
+    cells = d.select(F.col("source").alias("doc_id"), F.lit(1).alias("page_no"), F.lit(1).alias("table_no"), k.alias("row_no"), F.posexplode(five).alias("col_no", "x"))
+    return rows.numeric_columns(cells.select(*TABLE_KEY, "row_no", "col_no", F.col("x.n").alias("col_name"), F.col("x.v").alias("value"))).select("doc_id", "col_name", "is_numeric")
 
 
 # --- routing -----------------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tablewright.plans import demo_io  # noqa: F401
 from tablewright.plans.demo import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
