@@ -17,7 +17,9 @@ def number_tokens(text: Column) -> Column:
         wrapped = bare.startswith("(") & bare.endswith(")")
         return F.when(wrapped, F.concat(F.lit("-"), F.substr(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
 
-    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), plain)
+    # most texts have no digit, which is quickly told
+    found = F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.transform(found, plain)
 
 
 def token_number(token: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ def row_type(value: Column) -> Column:
 
 def is_rollup(type_value: Column, has_type: Column, label: Column) -> Column:
     """By row type where the table has one, else by the words of the first column."""
-    return F.coalesce(F.when(has_type, row_type(type_value) == "ROLLUP").otherwise(F.lower(label).rlike(ROLLUP_WORDS)), F.lit(False))
+    low = F.lower(label)
+    worded = functools.reduce(lambda a, b: a | b, [low.contains(w) for w in ROLLUP_WORDS.split("|")])
+    return F.coalesce(F.when(has_type, row_type(type_value) == "ROLLUP").otherwise(worded), F.lit(False))
 
 
 def numeric_columns(cells: DataFrame) -> DataFrame:
