@@ -16,7 +16,7 @@ from ..sources.files import scan_files
 from ..sources.pages import PageExtractor, PageReader, PageRenderer, TableReader, read_pages, read_tables, render_pages
 from ..sources.responses import parse_responses
 from ..streaming.staging import stage_answers
-from .convert import convert, plan_routes
+from .convert import convert_tables, plan_routes, reconciled
 
 #: Pages whose answers are saved together, and calls of a live extractor at once.
 SAVE_EVERY, CONCURRENCY = 10, 8
@@ -57,9 +57,13 @@ def convert_directory(
         live = stage_answers(spark, f"{staging}/shots", f"{staging}/answers", extractor, concurrency)
         said = said.unionByName(live.where("error is null").select("doc_id", "page_no", "csv_text"))
     ids = files.select(F.col("path").alias("doc_id"))
-    c = convert(pages, text, parse_responses(said.join(ids, "doc_id", "left_semi")), force_vision, keep_text_tables)
-    c.cells.write.mode("overwrite").parquet(f"{staging}/cells")
+    parse_responses(said.join(ids, "doc_id", "left_semi")).write.mode("overwrite").parquet(f"{staging}/vision")
+    # each result is made once: what follows reads it from files
+    made = convert_tables(pages, text, spark.read.parquet(f"{staging}/vision"), force_vision, keep_text_tables)
+    for name, table in zip(("routes", "cells"), made, strict=True):
+        table.write.mode("overwrite").parquet(f"{staging}/{name}")
     cells = spark.read.parquet(f"{staging}/cells")
+    c = reconciled(pages, spark.read.parquet(f"{staging}/routes"), cells)
     root = _qualified(spark, input_dir)
     to = lambda ending: output_path(F.col("doc_id"), output_dir, root, ending)
     write_workbooks(workbooks(cells, c.notes).withColumn("path", to(".xlsx")))

@@ -52,13 +52,8 @@ def _routes(pages: DataFrame, text_cells: DataFrame, tables: list[DataFrame], fo
     return docs.withColumn("route", route.final_route(first, F.col("n_tables"), F.col("has_issues"))).select("doc_id", "route")
 
 
-def convert(pages: DataFrame, text_tables: DataFrame, vision_tables: DataFrame, force_vision: bool = False, keep_text_tables: bool = False) -> Conversion:
-    """pages (doc_id, page_no, text, image_count) and raw tables of both ways to everything that is written.
-
-    Documents whose text tables have issues, or that have none, take the vision tables; those are cleaned. With
-    keep_text_tables the text tables stay where vision gives none. A document may have tables and no page: then its text
-    is not compared. doc_id is the file's path.
-    """
+def convert_tables(pages: DataFrame, text_tables: DataFrame, vision_tables: DataFrame, force_vision: bool = False, keep_text_tables: bool = False) -> tuple[DataFrame, DataFrame]:
+    """routes and merged cells, as convert() has them."""
     text_cells = _text_cells(text_tables)
     routes = _routes(pages, text_cells, [text_tables, vision_tables], force_vision)
     seen = normalize.clean_cells(normalize.drop_empty(normalize.promote_header(vision_tables)))
@@ -68,10 +63,24 @@ def convert(pages: DataFrame, text_tables: DataFrame, vision_tables: DataFrame,
         rest = routes.where("route = 'vision'").join(seen.select("doc_id").distinct(), "doc_id", "left_anti")
         by_text = by_text.unionByName(text_cells.join(rest, "doc_id", "left_semi"))
     cells = by_text.unionByName(by_vision)
-    merged = merge.merge_rows(cells, merge.merge_islands(table_heads(cells)))
+    return routes, merge.merge_rows(cells, merge.merge_islands(table_heads(cells)))
+
+
+def reconciled(pages: DataFrame, routes: DataFrame, merged: DataFrame) -> Conversion:
+    """A conversion from its routes and merged cells, which may have been written in between."""
     documents = routes.where("route <> 'image'").select("doc_id")
     texts = pages.join(documents, "doc_id", "left_semi")
     compared = reconcile.compare(reconcile.page_numbers(texts), reconcile.cell_numbers(merged.join(documents, "doc_id", "left_semi")))
     has = texts.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.length("text") > 0, F.lit(False))).alias("has_text"))
     known = documents.join(has, "doc_id", "left").select("doc_id", F.coalesce("has_text", F.lit(False)).alias("has_text"))
     return Conversion(routes, merged, reconcile.summary(compared, known), compared, rows.general_notes(merged))
+
+
+def convert(pages: DataFrame, text_tables: DataFrame, vision_tables: DataFrame, force_vision: bool = False, keep_text_tables: bool = False) -> Conversion:
+    """pages (doc_id, page_no, text, image_count) and raw tables of both ways to everything that is written.
+
+    Documents whose text tables have issues, or that have none, take the vision tables; those are cleaned. With
+    keep_text_tables the text tables stay where vision gives none. A document may have tables and no page: then its text
+    is not compared. doc_id is the file's path.
+    """
+    return reconciled(pages, *convert_tables(pages, text_tables, vision_tables, force_vision, keep_text_tables))
