@@ -2,8 +2,9 @@
 
 The text's UTF-8 bytes, ASCII letters in lower case, are cut into windows of fixed length. Filters of several widths run
 over a window; as the input is one-hot bytes, a filter is a table of one weight for each of its places and byte values.
-Each filter's maximum over the window feeds a softmax over the languages. A text's prediction is the mean log
-probability over all its windows, so whole texts count. Training is plain numpy (Adam on the cross-entropy) over a
+Each filter's maximum over the window feeds a softmax over the languages. A text's prediction is the mean of its windows'
+probabilities, each weighed by its bytes: whole texts count, and a passage in another language counts for its length only,
+however sure the network is of it. Training is plain numpy (Adam on the cross-entropy) over a
 bounded sample of windows; scoring runs in Arrow batches, windows of many texts at a time.
 """
 
@@ -145,9 +146,10 @@ def identify(docs: DataFrame, net: ByteCNN | None, keep_text: bool = True) -> Da
         def flush() -> None:
             # windows of many texts at a time; a long text's windows go in chunks
             stacked, sizes = np.concatenate(held), [len(h) for h in held]
-            logp = np.concatenate([net.log_proba(stacked[a : a + _CHUNK]) for a in range(0, len(stacked), _CHUNK)])
-            mean = np.add.reduceat(logp, np.cumsum([0, *sizes[:-1]]), axis=0) / np.array(sizes)[:, None]
-            p = np.exp(mean - mean.max(axis=1, keepdims=True))
+            p = np.exp(np.concatenate([net.log_proba(stacked[a : a + _CHUNK]) for a in range(0, len(stacked), _CHUNK)]))
+            weight = (stacked != 0).sum(axis=1, keepdims=True).astype(np.float64)
+            starts = np.cumsum([0, *sizes[:-1]])
+            p = np.add.reduceat(p * weight, starts, axis=0) / np.add.reduceat(weight, starts, axis=0)
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
             lang[rows] = np.array(net.langs, object)[best]

@@ -52,14 +52,15 @@ def test_identification_against_loops(spark, docs):
             assert (r.lang_pred, r.score) == ("und", 0)
             continue
         raw = [b + 32 if 65 <= b <= 90 else b for b in r.text.encode()]
-        logs = []
+        p, total = np.zeros(3), 0
         for at in range(0, len(raw), langid.WINDOW):
-            window = raw[at : at + langid.WINDOW] + [0] * (langid.WINDOW - len(raw[at : at + langid.WINDOW]))
+            part = raw[at : at + langid.WINDOW]
+            window = part + [0] * (langid.WINDOW - len(part))
             best = [max(sum(float(t[j, window[i + j], f]) for j in range(w)) for i in range(langid.WINDOW - w + 1)) for w, t in net.tables.items() for f in range(4)]
-            z = [sum(max(0.0, b) * float(net.out[k, c]) for k, b in enumerate(best)) + float(net.bias[c]) for c in range(3)]
-            logs.append([x - max(z) - np.log(sum(np.exp(y - max(z)) for y in z)) for x in z])
-        mean = np.mean(logs, axis=0)
-        p = np.exp(mean) / np.exp(mean).sum()
+            z = np.array([sum(max(0.0, b) * float(net.out[k, c]) for k, b in enumerate(best)) + float(net.bias[c]) for c in range(3)])
+            e = np.exp(z - z.max())
+            p, total = p + len(part) * e / e.sum(), total + len(part)
+        p /= total
         assert r.lang_pred == net.langs[int(p.argmax())] and abs(r.score - p.max()) < 1e-3
 
 
