@@ -43,37 +43,40 @@ def nra_block(q: np.ndarray, v: np.ndarray, own: np.ndarray, floor: np.ndarray,
     q (Q, D) and v (N, D) hold integers as floats; own marks pairs to leave out; floor (Q) is a k-th score known from
     earlier blocks; slack is how far sums of these floats may be off.
     """
-    n = len(v)
+    n, few = len(v), max(RESOLVE * k, len(v) // 32)
     lists = np.sort(v, axis=0)
     low, high = lists[0], lists[-1]
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    live, depth_of, floor = ~own, np.zeros(len(q), np.int64), floor.astype(np.float64)
-    partial = np.zeros((len(q), n), v.dtype)
+    live, depth_of = np.zeros_like(own), np.zeros(len(q), np.int64)
     # no vector's score is above what the lists' heads would give together
     act = np.flatnonzero(up @ high + down @ low + slack >= floor)
-    live[np.setdiff1d(np.arange(len(q)), act)] = False
-    rows, last_top, last_bottom = np.arange(n), np.full(v.shape[1], np.inf, v.dtype), np.full(v.shape[1], -np.inf, v.dtype)
+    alive, bar, seen = ~own[act], floor[act].astype(np.float64), np.zeros((len(act), n), v.dtype)
+    bare = np.isneginf(bar)
+    last_top, last_bottom = np.full(v.shape[1], np.inf, v.dtype), np.full(v.shape[1], -np.inf, v.dtype)
     for depth in sorted({max(1, int(n * part)) for part in DEPTHS}):
-        if not len(act) or not len(rows):
+        if not len(act):
             break
-        top, bottom, x = lists[n - depth], lists[depth - 1], v[rows]
-        from_top, from_bottom = x >= top, x <= bottom
-        cells = np.ix_(act, rows)
-        seen = partial[cells] + up[act] @ np.where(from_top & (x < last_top), x, 0).T + down[act] @ np.where(from_bottom & (x > last_bottom), x, 0).T
-        partial[cells], depth_of[act] = seen, depth
-        upper = seen + up[act] @ np.where(from_top, 0, top).T + down[act] @ np.where(from_bottom, 0, bottom).T
-        lower = np.full((len(act), n), -np.inf, v.dtype)
-        lower[:, rows] = seen + up[act] @ np.where(from_top, 0, low).T + down[act] @ np.where(from_bottom, 0, high).T
-        lower[own[act]] = -np.inf
-        if n > k:
-            floor[act] = np.minimum(np.maximum(floor[act], np.partition(lower, n - k, axis=1)[:, n - k] - slack), _MOST)
-        live[cells] &= upper + slack >= floor[act][:, None]
-        # done: outsiders are out and few candidates are left, or all that are left are known to the full
-        more = (live[cells].sum(axis=1) > max(RESOLVE * k, n // 32)) & (live[cells] & (upper > lower[:, rows])).any(axis=1)
-        act, last_top, last_bottom = act[more], top, bottom
-        rows = rows[live[np.ix_(act, rows)].any(axis=0)]
-        out = np.setdiff1d(np.arange(n), rows)
-        live[np.ix_(act, out)] = False
+        top, bottom = lists[n - depth], lists[depth - 1]
+        depth_of[act] = depth
+        # while a vector that no list has shown yet could qualify, reading goes on; without a floor, one is looked for
+        due = np.flatnonzero((up[act] @ top + down[act] @ bottom + slack < bar) | bare | (depth == n))
+        if not len(due):
+            continue
+        from_top, from_bottom = v >= top, v <= bottom
+        seen += up[act] @ np.where(from_top & (v < last_top), v, 0).T + down[act] @ np.where(from_bottom & (v > last_bottom), v, 0).T
+        last_top, last_bottom = top, bottom
+        u, d = up[act[due]], down[act[due]]
+        upper = seen[due] + u @ np.where(from_top, 0, top).T + d @ np.where(from_bottom, 0, bottom).T
+        look = np.flatnonzero(bare[due] | (depth == n))
+        if n > k and len(look):
+            lower = upper[look] if depth == n else seen[due[look]] + u[look] @ np.where(from_top, 0, low).T + d[look] @ np.where(from_bottom, 0, high).T
+            lower = np.where(own[act[due[look]]], -np.inf, lower)
+            bar[due[look]] = np.maximum(bar[due[look]], np.minimum(np.partition(lower, n - k, axis=1)[:, n - k] - slack, _MOST))
+        alive[due] &= upper + slack >= bar[due][:, None]
+        done = np.zeros(len(act), bool)
+        done[due] = (alive[due].sum(axis=1) <= few) | (depth == n)
+        live[act[done]] = alive[done]
+        act, alive, bar, seen, bare = act[~done], alive[~done], bar[~done], seen[~done], bare[~done]
     return live, depth_of
 
 
@@ -83,19 +86,21 @@ def top_in_cell(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, v: np.ndarray,
     reach = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * q.shape[1]
     kind = np.float32 if reach < 2**24 else np.float64
     slack = 0.0 if reach < 2**53 else reach * q.shape[1] * 2.0**-50
-    exact = (lambda x: x) if reach < 2**62 else (lambda x: x.astype(object))
+    q_f = q.astype(kind)
     best_id = [np.empty(0, np.int64)] * len(qid)
     best_score = [np.empty(0, np.int64)] * len(qid)
     floor = np.full(len(qid), -np.inf) if floor is None else np.nan_to_num(floor.astype(np.float64), nan=-np.inf)
     read = np.zeros(len(qid), np.int64)
     for start in range(0, len(vid), LIST_BLOCK):
         ids, block = vid[start : start + LIST_BLOCK], v[start : start + LIST_BLOCK]
-        live, depth = nra_block(q.astype(kind), block.astype(kind), qid[:, None] == ids[None, :], floor, k, slack)
+        block_f = block.astype(kind)
+        live, depth = nra_block(q_f, block_f, qid[:, None] == ids[None, :], floor, k, slack)
         # what was read of the lists, and what is read to resolve the candidates
         read += depth + (live.sum(axis=1) * (1 - depth / len(ids))).astype(np.int64)
         for i in np.flatnonzero(live.any(axis=1)):
             at = np.flatnonzero(live[i])
-            made = np.clip((exact(block[at]) * exact(q[i])).sum(axis=1), -_MOST, _MOST).astype(np.int64)
+            whole = block_f[at] @ q_f[i] if reach < 2**53 else np.clip((block[at].astype(object) * q[i].astype(object)).sum(axis=1), -_MOST, _MOST)
+            made = whole.astype(np.int64)
             score, cand = np.concatenate([best_score[i], made]), np.concatenate([best_id[i], ids[at]])
             order = np.lexsort((cand, -score))[:k]
             best_id[i], best_score[i] = cand[order], score[order]
