@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, own_prefix, score_texts, sorted_groups, text_key
 
 WIDTH, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.99999
-SLOTS, SMALL, CHILDREN, DEPTH = 64, 1024, 2, 8
+SLOTS, SMALL, CHILDREN, DEPTH = 64, 768, 2, 8
 #: A block of a leaf: so many sets, and so many shingles, at most on average; a cell is two blocks.
-BLOCK, WEIGHT, COLUMNS = 512, 2_000_000, 8192
+BLOCK, WEIGHT, COLUMNS = 384, 2_000_000, 8192
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 #: The slots' hash functions: odd multipliers of 32-bit tokens, which are hashes already.
