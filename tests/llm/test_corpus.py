@@ -1,12 +1,15 @@
 """Operators on pairs, lines and passages: against brute force, and on odd rows."""
 
+import os
 import random
 import re
+import types
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tablewright.llm import chosenpath, decontaminate, linededup
+from tablewright.llm import chosenpath, common, decontaminate, linededup
 
 DOCS = "doc_id long, text string, source string"
 
@@ -262,3 +265,28 @@ def test_removal_is_linear_in_the_lines(spark):
         assert {r.n for r in linededup.remove_cross_site_lines(spark, df).select(F.length("text").alias("n")).collect()} == {0}
         took[n] = time.perf_counter() - began
     assert took[24_000] < 8 * took[6_000] + 5, took
+
+
+def test_shared_folder():
+    """No machine-local folder on a cluster; tables of a scope are gone at its end."""
+    def session(master, folder=None):
+        known = {"spark.checkpoint.dir": folder} if folder else {}
+        conf = types.SimpleNamespace(get=lambda k, d=None: known.get(k, d), set=known.__setitem__)
+        return types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master, getConf=lambda: types.SimpleNamespace(get=lambda k: None)))
+
+    assert common.shared_dir(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert os.path.isdir(common.shared_dir(session("local[4]"))) and os.path.isdir(common.shared_dir(session("local")))
+    for master in ("yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master))
+
+
+def test_scratch(spark):
+    with common.scratch(spark):
+        inner = common.materialise(spark, spark.range(3), "inner")
+        kept = common.materialise(spark, spark.range(4), "kept", keep=True)
+        assert inner.count() == 3
+    place = lambda df: df._written.removeprefix("file:")
+    assert not os.path.exists(place(inner)) and kept.count() == 4
+    common.discard(kept)
+    assert not os.path.exists(place(kept))
