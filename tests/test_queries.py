@@ -1,5 +1,9 @@
 """Every registered document-table query against its SQL at the smallest scale."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -37,3 +41,12 @@ def test_query_matches_sql(spark, con, name):
 
 def test_all_have_sql():
     assert set(SQL) == set(QUERIES)
+
+
+def test_queries_stay_without_the_libraries_of_others():
+    """Where numpy or xxhash is missing, the document queries are still registered."""
+    code = "import sys; sys.modules[{lib!r}] = None; import warnings; warnings.simplefilter('ignore'); import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for lib in ("xxhash", "numpy"):
+        out = subprocess.run([sys.executable, "-c", code.format(lib=lib)], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+        assert out == [str(len(QUERIES)), "False"], (lib, out)
