@@ -202,7 +202,7 @@ def _read_back(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     names = ("doc_id", "sheet", "row_no", "col_no", "value", "is_number")
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_())
     for batch in batches:
         for doc, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
             rows = [(doc, sheet, i, j, str(v), not isinstance(v, str)) for sheet, lines in workbook.read_workbook(content).items() for i, line in enumerate(lines) for j, v in enumerate(line) if v is not None]
@@ -226,7 +226,7 @@ def workbook_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), (k % 3 + 1).cast("int").alias("page_no"), F.lit(1).alias("table_no"), k.cast("int").alias("row_no"), three.alias("c"))
     cells = rows.select(*TABLE_KEY, "row_no", F.posexplode("c").alias("col_no", "x")).select(*TABLE_KEY, "row_no", "col_no", F.col("x.n").alias("col_name"), F.col("x.v").alias("value"))
     notes = rows.where("row_no % 11 = 0").select(*TABLE_KEY, "row_no", F.concat(F.lit("on "), F.col("row_no").cast("string")).alias("note"))
-    return workbook.workbooks(cells, notes).mapInArrow(_read_back, "doc_id string, sheet string, row_no long, col_no long, value string, is_number boolean")
+    return workbook.workbooks(cells, notes).mapInArrow(_read_back, "doc_id string, sheet string, row_no long, col_no int, value string, is_number boolean")
 
 
 @_query(f"WITH {_PART_CELLS} SELECT doc_id, row_no, col_no, value FROM cells")
@@ -267,7 +267,7 @@ def _one_table(content: bytes, how: dict) -> list[tuple[int, int, list]]:
 
 
 @_query("""SELECT n_name || CASE WHEN n_nationkey % 10 = 3 THEN '.png' ELSE '.pdf' END AS name, CASE n_nationkey % 5 WHEN 4 THEN 'failed' WHEN 2 THEN 'no_tables' ELSE 'success' END AS status,
-CASE WHEN n_nationkey % 5 IN (2, 4) THEN NULL ELSE 1 END AS n_tables, n_nationkey % 5 IN (0, 1, 3) AS has_workbook, n_nationkey % 5 IN (0, 1) OR n_nationkey % 10 = 8 AS has_report FROM nation""")
+CASE WHEN n_nationkey % 5 IN (2, 4) THEN NULL ELSE CAST(1 AS BIGINT) END AS n_tables, n_nationkey % 5 IN (0, 1, 3) AS has_workbook, n_nationkey % 5 IN (0, 1) OR n_nationkey % 10 = 8 AS has_report FROM nation""")
 def batch_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of files converted: by text, by answers (scans and pictures), without tables, and broken."""
     folder, k = _scratch(spark), F.col("n_nationkey")
