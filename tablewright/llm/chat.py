@@ -129,6 +129,7 @@ def _keyed(spark: SparkSession, chats: DataFrame) -> DataFrame:
     turn, role = F.col("turn"), F.col("role")
     rows = chats.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n_copies"))
     rows = rows.withColumns({"ck": F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("null")), "tc": F.coalesce(F.floor(turn / CHUNK), F.lit(2**62)), "th": F.xxhash64("text")})
+    rows = materialise(spark, rows, "chat-messages")  # texts are made distinct once; what needs none doesn't read them
     crowded = materialise(spark, rows.groupBy("ck", "tc").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK), "chat-crowded")
     keyed = rows.join(crowded, ["ck", "tc"], "left")
     # pieces of half a chunk on average, so that hardly one is larger than a chunk
