@@ -123,10 +123,18 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int = 3, max_rated: int = M
             x = [features(t).astype(np.float16).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype(str), "grade": pdf["grade"].astype("int32"), "x": x})
 
-    got = rows.mapInPandas(featurise, "doc_id string, grade int, x binary").toPandas().sort_values("doc_id")
-    x, grade = np.zeros((len(got), WIDTH), np.float16), got["grade"].to_numpy(dtype=np.int64)
-    for i, b in enumerate(got.pop("x")):
-        x[i] = np.frombuffer(b, np.float16)
+    # Arrow's buffers, filled into one array: no object for each row on the driver
+    got = rows.mapInPandas(featurise, "doc_id string, grade int, x binary").toArrow()
+    place = np.empty(got.num_rows, np.int64)
+    place[np.argsort(np.array(got.column("doc_id").to_pylist(), object), kind="stable")] = np.arange(got.num_rows)
+    x, grade, at = np.zeros((got.num_rows, WIDTH), np.float16), np.zeros(got.num_rows, np.int64), 0
+    for batch in got.to_batches():
+        to = place[at : at + batch.num_rows]
+        at += batch.num_rows
+        grade[to] = batch.column("grade").to_numpy()
+        for i, b in zip(to, batch.column("x"), strict=True):
+            x[i] = np.frombuffer(b.as_buffer(), np.float16)
+    del got
     return train(x, grade, grades)
 
 
